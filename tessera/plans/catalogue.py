@@ -1,12 +1,541 @@
-"""Named queries over the test tables, and the SQL that gives the same rows."""
+"""Named queries over the test tables, and the SQL that gives the same rows.
+
+Stand-ins: user = o_custkey, item = l_partkey, stars = ceil(l_quantity / 10); an item's categories are
+the words of p_name; text = documents by source (item) and lang (user); points = embeddings.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES = {
-    "top_users": lambda spark, d: spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count("*").alias("n_orders")).orderBy(F.desc("n_orders"), "user_id").limit(10),
-}
-ORACLE_SQL = {
-    "top_users": "SELECT o_custkey AS user_id, count(*) AS n_orders FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
-}
+from tessera.functions.hashing import bytes_mod
+from tessera.functions.text import STOPWORDS, words
+from tessera.functions.vectors import percent_error
+from tessera.operators import aggregates, baskets, cf, cluster, graph, profiles, similarity, sketch
+from tessera.plans import oracle
+from tessera.session import partition_sizes
+from tessera.sources import sinks
+from tessera.sources.tables import table, timestamped
+from tessera.streaming import streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(run: Query) -> Query:
+    QUERIES[run.__name__] = run
+    return run
+
+
+# --- stand-ins -------------------------------------------------------------------------------
+
+
+def reviews(spark: SparkSession, d: str) -> DataFrame:
+    """(u, b, stars), a row a line item."""
+    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(F.col("o_custkey").alias("u"), F.col("l_partkey").alias("b"), F.ceil(F.col("l_quantity") / 10).cast("double").alias("stars"))
+
+
+def user_items(spark: SparkSession, d: str) -> DataFrame:
+    return reviews(spark, d).select("u", "b").distinct()
+
+
+def ratings(spark: SparkSession, d: str) -> DataFrame:
+    return reviews(spark, d).groupBy("u", "b").agg(F.avg("stars").alias("stars"))
+
+
+def held_out() -> F.Column:
+    return F.pmod(F.col("u") * 7 + F.col("b") * 13, F.lit(50)) == 0
+
+
+def brand_pairs(spark: SparkSession, d: str) -> DataFrame:
+    lines, parts = table(spark, d, "lineitem"), table(spark, d, "part")
+    return lines.join(parts, lines.l_partkey == parts.p_partkey).select("l_orderkey", "p_brand")
+
+
+def brand_baskets(spark: SparkSession, d: str) -> DataFrame:
+    return baskets.long_baskets(brand_pairs(spark, d), "l_orderkey", "p_brand")
+
+
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("source", "lang", "text")
+
+
+def stopwords(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in STOPWORDS], "word string")
+
+
+def top_edges(spark: SparkSession, d: str, n: int = 200) -> DataFrame:
+    return graph.strongest(graph.coreview_edges(user_items(spark, d), "u", "b", 2), n).select("src", "dst")
+
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), v.alias("v"), F.col("label").cast("long").alias("label"))
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return timestamped(table(spark, d, "events"), "ts")
+
+
+def shown(itemsets: DataFrame) -> DataFrame:
+    return itemsets.withColumn("items", F.array_join("items", ","))
+
+
+# --- exploration -----------------------------------------------------------------------------
+
+
+@query
+def review_count(spark, d):
+    return aggregates.row_count(table(spark, d, "orders"))
+
+
+@query
+def reviews_in_year(spark, d):
+    return aggregates.count_in_year(table(spark, d, "orders"), "o_orderdate", 1997)
+
+
+@query
+def reviews_by_year(spark, d):
+    year = F.substring(F.col("o_orderdate").cast("string"), 1, 4).cast("long").alias("year")
+    return aggregates.count_by(table(spark, d, "orders"), year)
+
+
+@query
+def distinct_users(spark, d):
+    return aggregates.distinct_count(table(spark, d, "orders"), "o_custkey")
+
+
+@query
+def top_users(spark, d):
+    return aggregates.top_counts(table(spark, d, "orders").select(F.col("o_custkey").alias("user_id")), "user_id", 10)
+
+
+@query
+def top_words(spark, d):
+    return aggregates.top_words(texts(spark, d), 50)
+
+
+@query
+def top_words_no_stopwords(spark, d):
+    return aggregates.top_words(texts(spark, d), 50, stop=stopwords(spark))
+
+
+@query
+def category_avg_topn(spark, d):
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.split("p_name", " ").alias("categories"))
+    return aggregates.category_averages(reviews(spark, d).withColumnRenamed("b", "item"), items, 20)
+
+
+@query
+def busy_items(spark, d):
+    return aggregates.busy_keys(table(spark, d, "lineitem").select(F.col("l_partkey").alias("item")), "item", 40)
+
+
+@query
+def items_per_partition(spark, d):
+    return partition_sizes(table(spark, d, "lineitem").repartition(8, "l_partkey"))
+
+
+@query
+def semi_join_subset(spark, d):
+    nations = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
+    return aggregates.semi_join(table(spark, d, "customer"), nations, "c_nationkey").select("c_custkey", "c_nationkey")
+
+
+@query
+def anti_join_subset(spark, d):
+    nations = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
+    return aggregates.anti_join(table(spark, d, "customer"), nations, "c_nationkey").select("c_custkey", "c_nationkey")
+
+
+@query
+def inner_join_totals(spark, d):
+    customers, orders = table(spark, d, "customer"), table(spark, d, "orders")
+    joined = orders.join(customers, orders.o_custkey == customers.c_custkey)
+    return joined.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query
+def json_fields(spark, d):
+    k = F.from_json("props", "k long")["k"].alias("k")
+    return aggregates.count_by(table(spark, d, "events"), k)
+
+
+@query
+def union_distinct(spark, d):
+    a = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("nation"))
+    b = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("nation"))
+    return a.unionByName(b).distinct()
+
+
+@query
+def non_empty_filter(spark, d):
+    return table(spark, d, "events").where("event_type <> ''").select("event_type").distinct()
+
+
+@query
+def alphabetic_words(spark, d):
+    found = words(texts(spark, d)).where(F.col("word").rlike("^[A-Za-z]+$"))
+    return aggregates.top_counts(found, "word", 100)
+
+
+@query
+def hash_sample(spark, d):
+    return aggregates.key_sample(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 10)
+
+
+@query
+def text_numbers(spark, d):
+    return table(spark, d, "nation").select("n_name", bytes_mod(F.col("n_name"), 10_000).alias("h"))
+
+
+# --- baskets ---------------------------------------------------------------------------------
+
+
+@query
+def basket_case1(spark, d):
+    rows = baskets.basket_rows(baskets.long_baskets(user_items(spark, d), "u", "b"))
+    return rows.select("basket", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), "n")
+
+
+@query
+def basket_case2(spark, d):
+    rows = baskets.basket_rows(baskets.long_baskets(user_items(spark, d), "b", "u"))
+    return rows.select("basket", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), "n")
+
+
+@query
+def basket_size_filter(spark, d):
+    return baskets.long_baskets(user_items(spark, d), "u", "b", over=50).groupBy("basket").agg(F.count("*").alias("n"))
+
+
+@query
+def frequent_itemsets(spark, d):
+    return shown(baskets.frequent_itemsets(brand_baskets(spark, d), 20))
+
+
+def _level(k: int) -> Query:
+    return lambda spark, d: shown(baskets.itemsets_of_size(brand_baskets(spark, d), 20, k))
+
+
+QUERIES |= {f"apriori_{k}": _level(k) for k in (1, 2, 3, 4)}
+
+
+@query
+def fpgrowth_itemsets(spark, d):
+    return shown(baskets.fp_growth(brand_baskets(spark, d), 20))
+
+
+@query
+def sparse_itemsets(spark, d):
+    found = baskets.frequent_itemsets(baskets.long_baskets(user_items(spark, d), "u", "b"), 8, 2)
+    return found.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
+
+
+@query
+def itemset_report(spark, d):
+    pairs = baskets.long_baskets(brand_pairs(spark, d), "l_orderkey", "p_brand").where("basket % 20 = 0")
+    levels = baskets.itemset_levels(pairs, 20, 3)
+    made = frequent = None
+    for candidates, level in levels:
+        made = candidates if made is None else made.union(candidates)
+        frequent = level.select("items") if frequent is None else frequent.union(level.select("items"))
+    return sinks.itemset_report(made, frequent)
+
+
+# --- similarity ------------------------------------------------------------------------------
+
+
+@query
+def cooccurrence_pairs(spark, d):
+    return similarity.co_counts(user_items(spark, d), "b", "u", 5)
+
+
+@query
+def jaccard_pairs(spark, d):
+    return similarity.jaccard_pairs(user_items(spark, d), "b", "u", 0.05).withColumn("sim", F.round("sim", 6))
+
+
+@query
+def minhash_signature(spark, d):
+    return similarity.signature_rows(similarity.minhash(user_items(spark, d), "b", "u", 30))
+
+
+@query
+def lsh_candidates(spark, d):
+    return similarity.lsh_candidates(similarity.minhash(user_items(spark, d), "b", "u", 30), 2)
+
+
+@query
+def lsh_similar_pairs(spark, d):
+    return similarity.lsh_similar_pairs(user_items(spark, d), "b", "u", 60, 1, 0.05).withColumn("sim", F.round("sim", 6))
+
+
+# --- recommendation --------------------------------------------------------------------------
+
+
+@query
+def doc_frequency(spark, d):
+    return profiles.document_frequency(words(texts(spark, d), keep=("source",))).where("df > 1")
+
+
+@query
+def tfidf_top_words(spark, d):
+    return profiles.item_profiles(texts(spark, d), "source", 200)
+
+
+@query
+def user_profile(spark, d):
+    seen = texts(spark, d).select(F.col("lang").alias("user"), F.col("source").alias("id"))
+    return profiles.user_profiles(seen, profiles.item_profiles(texts(spark, d), "source", 200))
+
+
+@query
+def content_predict(spark, d):
+    seen = texts(spark, d).select(F.col("lang").alias("user"), F.col("source").alias("id")).distinct()
+    items = profiles.item_profiles(texts(spark, d), "source", 200)
+    return profiles.content_predictions(seen, profiles.user_profiles(seen, items), items)
+
+
+@query
+def item_pearson(spark, d):
+    return cf.item_model(ratings(spark, d))
+
+
+@query
+def user_pearson_lsh(spark, d):
+    return cf.user_model(ratings(spark, d))
+
+
+@query
+def top_neighbours(spark, d):
+    return cf.top_neighbours(cf.item_model(ratings(spark, d)), 5)
+
+
+@query
+def item_cf_predict(spark, d):
+    every = ratings(spark, d)
+    known = every.where(~held_out())
+    return cf.item_predictions(every.where(held_out()), known, cf.item_model(known))
+
+
+@query
+def item_cf_predict_top(spark, d):
+    every = ratings(spark, d)
+    known = every.where(~held_out())
+    return cf.item_predictions(every.where(held_out()), known, cf.item_model(known), n=3)
+
+
+@query
+def user_cf_predict(spark, d):
+    every = ratings(spark, d)
+    known = every.where(~held_out())
+    return cf.user_predictions(every.where(held_out()), known, cf.co_rated(known, "u", "b", 2).where("sim > 0"), n=5, least=2)
+
+
+# --- graphs ----------------------------------------------------------------------------------
+
+
+@query
+def coreview_edges(spark, d):
+    return graph.coreview_edges(user_items(spark, d), "u", "b", 7)
+
+
+@query
+def strongest_edges(spark, d):
+    return top_edges(spark, d)
+
+
+@query
+def degrees(spark, d):
+    return graph.degrees(top_edges(spark, d))
+
+
+@query
+def graph_index(spark, d):
+    return graph.dense_index(graph.vertices(top_edges(spark, d)), width=100)
+
+
+@query
+def label_propagation(spark, d):
+    return graph.label_propagation(top_edges(spark, d), 5)
+
+
+@query
+def components(spark, d):
+    return graph.components(top_edges(spark, d))
+
+
+@query
+def bfs_paths(spark, d):
+    return graph.shortest_paths(top_edges(spark, d, 60))
+
+
+@query
+def edge_betweenness(spark, d):
+    return graph.edge_betweenness(top_edges(spark, d, 60))
+
+
+@query
+def modularity(spark, d):
+    edges = top_edges(spark, d)
+    return graph.modularity(edges, graph.components(edges), "component")
+
+
+@query
+def gn_first_cut(spark, d):
+    found = graph.edge_betweenness(top_edges(spark, d, 60))
+    return found.orderBy(F.desc("betweenness"), "src", "dst").limit(1)
+
+
+@query
+def girvan_newman(spark, d):
+    return graph.girvan_newman(top_edges(spark, d, 60), cuts=3)[0]
+
+
+# --- clusters --------------------------------------------------------------------------------
+
+
+@query
+def farthest_init(spark, d):
+    chosen = cluster.farthest_first(points(spark, d), 5)
+    return spark.createDataFrame([(k, i) for k, (i, _) in enumerate(chosen)], "cluster long, id long")
+
+
+@query
+def kmeans_fixed(spark, d):
+    found = cluster.kmeans(points(spark, d), 5, rounds=3, moved=-1.0)
+    return found.select("id", "cluster", F.round("distance", 4).alias("distance"))
+
+
+@query
+def kmeans_mllib(spark, d):
+    return cluster.mllib_kmeans(points(spark, d), 10).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query
+def nearest_centre(spark, d):
+    p = points(spark, d)
+    centres = cluster.centres_of(p.withColumnRenamed("label", "cluster")).select("cluster", "centre")
+    return cluster.nearest(p.select("id", "v"), centres).select("id", "cluster", F.round("distance", 6).alias("distance"))
+
+
+@query
+def outlier_split(spark, d):
+    return cluster.outlier_split(points(spark, d).withColumnRenamed("label", "cluster"), 1.1)
+
+
+@query
+def cluster_stats(spark, d):
+    return cluster.stats_rows(cluster.cluster_stats(points(spark, d).withColumnRenamed("label", "cluster")))
+
+
+@query
+def ds_merge(spark, d):
+    p = points(spark, d).withColumnRenamed("label", "cluster")
+    parts = [cluster.cluster_stats(p.where(F.col("id") % 4 == k)) for k in range(4)]
+    return cluster.stats_rows(cluster.merge_stats(*parts))
+
+
+@query
+def mahalanobis_assign(spark, d):
+    p = points(spark, d).withColumnRenamed("label", "cluster")
+    stats = cluster.cluster_stats(p.where("id % 4 <> 0"))
+    found = cluster.mahalanobis_assign(p.where("id % 4 = 0"), stats, 2.0)
+    return found.select("id", "cluster", F.round("distance", 6).alias("distance"))
+
+
+@query
+def bfr_rounds(spark, d):
+    p, job = points(spark, d), cluster.Bfr(10)
+    for k in range(4):
+        job.add(p.where(F.col("id") % 4 == k), last=k == 3)
+    return job.rounds(spark)
+
+
+# --- sketches --------------------------------------------------------------------------------
+
+
+@query
+def bloom_probe(spark, d):
+    customers = table(spark, d, "customer").select(F.col("c_name").alias("key"), "c_custkey")
+    return sketch.bloom_probe(customers, "key", sketch.bloom_bits(customers.where("c_custkey % 2 = 0"), "key"))
+
+
+@query
+def bloom_fp_rate(spark, d):
+    keys = table(spark, d, "customer").where("c_custkey % 2 = 0").agg(F.count("*").alias("keys"))
+    return keys.select("keys", F.round(F.pow(1 - F.exp(-8.0 * F.col("keys") / 10000.0), 8), 9).alias("rate"))
+
+
+@query
+def fm_estimate(spark, d):
+    return sketch.distinct_estimates(events(spark, d), "user_id", F.window("ts", "3 days", "1 day")["start"].alias("start"))
+
+
+@query
+def hll_estimate(spark, d):
+    start = F.window("ts", "3 days", "1 day")["start"].alias("start")
+    rows = events(spark, d).groupBy(start).agg(F.countDistinct("user_id").alias("truth"), F.approx_count_distinct("user_id", 0.01).alias("estimate"))
+    return rows.withColumn("error", F.round(percent_error(F.col("estimate"), F.col("truth")), 6))
+
+
+@query
+def window_distinct(spark, d):
+    return streams.window_counts(events(spark, d))
+
+
+@query
+def reservoir_sample(spark, d):
+    return sketch.reservoir(table(spark, d, "events"), "event_id", 100).select("event_id", "event_type", "priority")
+
+
+@query
+def trending_tags(spark, d):
+    return sketch.trending(sketch.reservoir(table(spark, d, "events"), "event_id", 100), "event_type")
+
+
+@query
+def trending_users(spark, d):
+    return sketch.trending(table(spark, d, "events").select(F.col("user_id").cast("string").alias("user")), "user")
+
+
+# --- streams ---------------------------------------------------------------------------------
+
+
+@query
+def stream_window_counts(spark, d):
+    return streams.drain(streams.window_counts(streams.event_stream(spark, d)))
+
+
+@query
+def stream_distinct(spark, d):
+    return streams.drain(streams.window_estimates(streams.event_stream(spark, d)))
+
+
+@query
+def stream_trending(spark, d):
+    return streams.drain(streams.tag_counts(streams.event_stream(spark, d)), each=streams.board)
+
+
+@query
+def stream_session(spark, d):
+    return streams.drain(streams.sessions(streams.event_stream(spark, d)))
+
+
+@query
+def stream_tumbling(spark, d):
+    return streams.drain(streams.tumbling_counts(streams.event_stream(spark, d)))
+
+
+@query
+def stream_reservoir(spark, d):
+    held = streams.drain(streams.stateful_reservoir(streams.event_stream(spark, d), "event_id", 100), mode="update")
+    return streams.lowest(held, 100).select(F.col("key").alias("event_id"), "priority")
+
+
+ORACLE_SQL: dict[str, str] = oracle.SQL
