@@ -25,13 +25,21 @@ def bloom_bits(keys: DataFrame, key: str, hashes: int = HASHES, bits: int = BITS
     return named.select(F.explode(bit_positions(F.col("key"), hashes, bits)).alias("pos")).distinct()
 
 
+def bit_words(set_bits: DataFrame, bits: int = BITS) -> DataFrame:
+    """One row with words: the filter as an array of 64-bit numbers, bits / 64 of them."""
+    word = set_bits.groupBy(F.floor(F.col("pos") / 64).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % 64).cast("int"))).alias("word"))
+    held = word.agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("held"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit((bits - 1) // 64).cast("long"))
+    return held.select(F.transform(every, lambda k: F.coalesce(F.try_element_at("held", k), F.lit(0).cast("long"))).alias("words"))
+
+
 def bloom_probe(rows: DataFrame, key: str, set_bits: DataFrame, hashes: int = HASHES, bits: int = BITS) -> DataFrame:
     """Distinct keys of rows with hit: 1 if all their bits are set, 0 if not or if the key is null or empty."""
     text = F.col(key).cast("string")
     keys = rows.select(text.alias("key")).distinct()
-    packed = set_bits.agg(F.collect_set("pos").alias("set"))  # one row of at most `bits` numbers
-    all_set = F.forall(bit_positions(F.col("key"), hashes, bits), lambda p: F.array_contains("set", p))
-    return keys.crossJoin(F.broadcast(packed)).select("key", F.when(F.coalesce("key", F.lit("")) == "", 0).otherwise(all_set.cast("int")).alias("hit"))
+    filled = keys.crossJoin(F.broadcast(bit_words(set_bits, bits)))  # one row of bits / 8 bytes
+    all_set = F.forall(bit_positions(F.col("key"), hashes, bits), lambda p: F.getbit(F.element_at("words", F.floor(p / 64).cast("int") + 1), (p % 64).cast("int")) == 1)
+    return filled.select("key", F.when(F.coalesce("key", F.lit("")) == "", 0).otherwise(all_set.cast("int")).alias("hit"))
 
 
 def bloom_error_rate(keys: int, hashes: int = HASHES, bits: int = BITS) -> float:
