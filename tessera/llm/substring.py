@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, cut, flat, hash_runs, keep_ids, places, runs, signed, text_slices, windows
+from .common import BROADCAST_ROWS, SPACED, cut, flat, hash_runs, keep_ids, places, runs, signed, text_slices, windows
 
 PERIOD, COVER, WIDTH = 31, (1, 5, 11, 24, 25, 27), 15
 #: Shortest passage, in words, that counts as a repeat: what the cover is sure to find.
 MIN_WORDS = WIDTH + PERIOD - 1
+#: A place holds the word number in its low bits and the number of the doc_id's text above them.
+PLACE_BITS = 40
 
 
 def word_hashes(text: pa.Array):
@@ -45,7 +47,7 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def candidate_windows(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, fp, p) of each window of MIN_WORDS words that holds one of its row's anchors `at`."""
+    """(h, doc_id, p, v) of each window of MIN_WORDS words that holds one of its row's anchors `at`."""
 
     def run(batches):
         for batch in text_slices(batches):
@@ -62,42 +64,55 @@ def candidate_windows(docs: DataFrame) -> DataFrame:
             mark = np.bincount(np.maximum(spot - (MIN_WORDS - WIDTH), first[owner]), minlength=len(doc) + 2) - np.bincount(spot + 1, minlength=len(doc) + 2)
             near = np.flatnonzero((np.cumsum(mark)[:n] > 0) & (doc[:n] == doc[MIN_WORDS - 1 :]))
             of = pa.array(doc[near])
-            yield pa.RecordBatch.from_arrays([signed(w[near]), batch.column("doc_id").take(of), batch.column("fp").take(of), pa.array(p[near].astype(np.int32))], ["h", "doc_id", "fp", "p"])
+            yield pa.RecordBatch.from_arrays([signed(w[near]), batch.column("doc_id").take(of), pa.array(p[near] + (batch.column("v").to_numpy()[doc[near]] << PLACE_BITS))], ["h", "doc_id", "at"])
 
-    return docs.mapInArrow(run, "h long, doc_id long, fp long, p int")
+    return docs.mapInArrow(run, "h long, doc_id long, at long")
+
+
+def variants(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, v) of each text of the doc_ids that have several, numbered 0, 1, ...; mostly empty."""
+    twice = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    texts = keep_ids(docs, twice).select("doc_id", F.xxhash64("text").alias("fp")).distinct()
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("fp")).cast("long") - 1
+    return cut(texts.withColumn("v", number))
+
+
+def numbered(docs: DataFrame, of: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) with v, the number of the row's text among those of its doc_id."""
+    small = of.count() <= BROADCAST_ROWS
+    rows = docs.withColumn("fp", F.xxhash64("text")).join(F.broadcast(of) if small else of, ["doc_id", "fp"], "left")
+    return rows.select(*docs.columns, F.coalesce("v", F.lit(0).cast("long")).alias("v"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, first_word, n_words, of_doc_id): maximal runs of words whose windows occur earlier.
+    """(doc_id, v, first_word, n_words, of_doc_id): maximal runs of words whose windows occur earlier.
 
     Words are what ASCII white space separates, counted from 0, compared byte for byte; of_doc_id
-    holds the first occurrence of the run's first window, which may be in the same document. fp is
-    xxhash64(text): rows with one doc_id and different texts are told apart by it, and equal rows
-    count once. Every word of a second or later occurrence of a passage of MIN_WORDS words or more
+    holds the first occurrence of the run's first window, which may be in the same document. v
+    numbers the texts of a doc_id that has several (else it is 0); equal rows count once. Every word of a second or later occurrence of a passage of MIN_WORDS words or more
     is in a run; no word of a first one is. Documents with a null doc_id aren't searched; null,
     empty and short texts have no rows. Texts are searched whole. Other columns aren't read.
     """
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = every.where("doc_id is not null and text is not null")
     seen = anchors(named).withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
     spots = cut(seen.groupBy("doc_id").agg(F.array_distinct(F.collect_list("p")).alias("at")))
-    some = keep_ids(named, spots.select("doc_id")).withColumn("fp", F.xxhash64("text"))
+    some = numbered(keep_ids(named, spots.select("doc_id")), variants(every))
     held = candidate_windows(some.join(spots, "doc_id"))
-    earliest = Window.partitionBy("h").orderBy("doc_id", "p")
-    first = F.first(F.struct("doc_id", "p")).over(earliest)
-    later = held.withColumn("first", first).where("doc_id <> first.doc_id or p <> first.p").select("doc_id", "fp", "p", F.col("first.doc_id").alias("of_doc_id"))
+    earliest = Window.partitionBy("h").orderBy("doc_id", "at")
+    first = F.first(F.struct("doc_id", "at")).over(earliest)
+    later = held.withColumn("first", first).where("doc_id <> first.doc_id or at <> first.at").select("doc_id", "at", F.col("first.doc_id").alias("of_doc_id"))
     return merged(later)
 
 
 def merged(later: DataFrame) -> DataFrame:
-    """Windows (doc_id, fp, p, of_doc_id) that overlap or touch, as maximal runs of words."""
-    by = Window.partitionBy("doc_id", "fp").orderBy("p", "of_doc_id")
-    opens = F.coalesce(F.col("p") > F.lag("p").over(by) + MIN_WORDS, F.lit(True))
+    """Windows (doc_id, at, of_doc_id) that overlap or touch, as maximal runs of words."""
+    by = Window.partitionBy("doc_id").orderBy("at", "of_doc_id")
+    opens = F.coalesce(F.col("at") > F.lag("at").over(by) + MIN_WORDS, F.lit(True))
     run = later.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.groupBy("doc_id", "fp", "run").agg(
-        F.min("p").cast("long").alias("first_word"),
-        (F.max("p") + MIN_WORDS - F.min("p")).cast("long").alias("n_words"),
-        F.min_by("of_doc_id", F.struct("p", "of_doc_id")).alias("of_doc_id"),
-    ).drop("run")
+    spans = run.groupBy("doc_id", "run").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.min_by("of_doc_id", F.struct("at", "of_doc_id")).alias("of_doc_id"))
+    first_word = F.col("a").bitwiseAND((1 << PLACE_BITS) - 1).alias("first_word")
+    return spans.select("doc_id", F.shiftright("a", PLACE_BITS).alias("v"), first_word, (F.col("b") + MIN_WORDS - F.col("a")).alias("n_words"), "of_doc_id")
 
 
 def without_words(text: pa.Array, spans: pa.Array) -> pa.Array:
@@ -124,10 +139,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     First occurrences stay where they are; documents of which nothing is left stay with an empty
     text. Rows that aren't searched are unchanged. See repeated_spans.
     """
-    spans = cut(repeated_spans(docs).groupBy("doc_id", "fp").agg(F.collect_list(F.struct("first_word", "n_words")).alias("spans")))
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.xxhash64("text").alias("fp"))
-    touched = keep_ids(rows, spans.select("doc_id", "fp"))
-    rest = keep_ids(rows, spans.select("doc_id", "fp"), "left_anti").select("row.*")
+    spans = cut(repeated_spans(docs).groupBy("doc_id", "v").agg(F.collect_list(F.struct("first_word", "n_words")).alias("spans")))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = numbered(rows, variants(rows.select("doc_id", "text")))
+    touched = keep_ids(rows, spans.select("doc_id", "v"))
+    rest = keep_ids(rows, spans.select("doc_id", "v"), "left_anti").select("row.*")
 
     def less(text: pa.Array, spans: pa.Array) -> pa.Array:
         return without_words(text, spans)
@@ -136,5 +152,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     row = F.col("row").withField("text", F.col("new"))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length("new").cast(docs.schema["n_chars"].dataType))
-    new = touched.join(spans, ["doc_id", "fp"]).withColumn("new", cut_text)
+    new = touched.join(spans, ["doc_id", "v"]).withColumn("new", cut_text)
     return rest.unionByName(new.select(row.alias("row")).select("row.*"))

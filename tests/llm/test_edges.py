@@ -119,6 +119,13 @@ def test_substring_dedup_of_wholly_repeated_texts(spark):
     assert plain(got, "doc_id", "text") == [(1, PASSAGE), (2, ""), (2, "")]
 
 
+def test_substring_dedup_of_one_id_with_several_texts(spark):
+    rows = frame(spark, [(1, PASSAGE, "en", "s", 1), (2, "other words", "en", "s", 1), (2, None, "en", "s", 1), (3, None, "en", "s", 1), (3, PASSAGE, "en", "s", 1), (2, "q " + PASSAGE, "en", "s", 1), (2, "q " + PASSAGE, "en", "s", 1)])
+    assert plain(substring.repeated_spans(rows), "doc_id", "first_word", "n_words") == [(2, 1, 60), (3, 0, 60)]
+    want = [(1, PASSAGE), (2, "other words"), (2, "q "), (2, "q "), (2, None), (3, ""), (3, None)]
+    assert plain(substring.without_repeats(rows), "doc_id", "text") == sorted(want, key=str)
+
+
 def test_ngram_join(docs, empty):
     assert plain(ngram_join.similar_pairs(docs), "a", "b", "jaccard") == [(1, 11, 1.0), (8, 9, 58 / 63)]
     kept = ngram_join.without_near_copies(docs)
