@@ -172,7 +172,7 @@ def copies_in(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id) over a whole table: its first generation against itself, the second against that."""
     snapshot, incoming = generations(docs)
     own = cut(exact_copies(snapshot))
-    return own.union(exact_copies(incoming, snapshot.join(own.select("doc_id"), "doc_id", "left_anti")))
+    return own.union(exact_copies(incoming, snapshot))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
