@@ -120,15 +120,16 @@ class RTree:
                     yield self.order[x[ok]], self.order[y[ok]]
 
 
-def first_common(routes: np.ndarray, a: np.ndarray, b: np.ndarray, key: np.uint64) -> np.ndarray:
-    """Whether key is the smallest hash that rows a and b of routes (padded with the largest) share."""
+def first_common(routes: np.ndarray, a: np.ndarray, b: np.ndarray, key: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """Whether each pair's key is the smallest hash that rows a and b of routes (padded with the largest) share."""
     out = np.empty(len(a), bool)
-    for s in range(0, len(a), 1 << 14):
-        x, y = routes[a[s : s + (1 << 14)]], routes[b[s : s + (1 << 14)]]
+    for s in range(0, len(a), step):
+        x, y = routes[a[s : s + step]], routes[b[s : s + step]]
+        low = x < key[s : s + step, None]
         earlier = np.zeros(len(x), bool)
         for k in range(x.shape[1]):
-            earlier |= ((x[:, k : k + 1] == y) & (x[:, k : k + 1] < key)).any(1)
-        out[s : s + (1 << 14)] = ~earlier
+            earlier |= low[:, k] & (x[:, k : k + 1] == y).any(1)
+        out[s : s + step] = ~earlier
     return out
 
 
@@ -159,7 +160,7 @@ def route_pairs(routed: DataFrame, t: float) -> DataFrame:
                 for a, b in RTree(vec[lo:hi], size[lo:hi]).pairs(t):
                     out.append((a + lo, b + lo))
             for a, b in out:
-                ok = first_common(routes, a, b, key[a].view(np.uint64)[:, None])
+                ok = first_common(routes, a, b, key[a].view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key[a[ok]]), pa.array(node[a[ok]]), pa.array(node[b[ok]])], ["key", "a", "b"])
 
     ordered = routed.repartition("key").sortWithinPartitions("key")

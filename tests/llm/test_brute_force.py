@@ -398,6 +398,17 @@ def test_tree_drops_no_pair_that_its_bound_allows():
     assert got == want and len(want) >= 150
 
 
+def test_pairs_are_made_where_they_meet_first():
+    rng = np.random.default_rng(5)
+    routes = np.sort(rng.integers(0, 40, (60, 6)), axis=1).astype(np.uint64)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    common = [sorted(set(routes[i].tolist()) & set(routes[j].tolist())) for i, j in zip(a, b)]
+    some = np.array([bool(c) for c in common])
+    a, b, common = a[some], b[some], [c for c in common if c]
+    key = np.array([c[k % len(c)] for k, c in enumerate(common)], np.uint64)
+    assert ngram_join.first_common(routes, a, b, key, 100).tolist() == [k == c[0] for k, c in zip(key.tolist(), common)]
+
+
 def test_components(spark):
     pairs = [(k, k + 1) for k in range(30)] + [(100, 90), (90, 95)]
     got = {r.id: r.root for r in ngram_join.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
