@@ -1,9 +1,10 @@
 """Jaccard self-join of word n-gram sets, pruned by an R-tree over count vectors.
 
-A document's n-grams are hashed into GROUPS groups; the group counts are a point. Two sets share at
-most the sum of the coordinates' minima, and a tree node's upper corner bounds that for all points below
-it, so a node or a point is dropped when the bound can't reach the threshold. What survives is verified
-on the n-gram sets themselves.
+A document's n-grams are hashed into groups; the group counts are a point. Two sets share at most the
+sum of the coordinates' minima, and a tree node's upper corner bounds that for all points below it, so a
+node or a point is dropped when the bound can't reach the threshold. What survives is verified on the
+n-gram sets themselves. A point has about half as many groups as its set has n-grams, a power of two, so
+the bound is as sharp for long documents as for short ones; a longer point is folded to meet a shorter one.
 
 One tree over all documents can't be spread over a cluster, so documents are first routed: each goes
 to the groups of its ROUTES smallest n-gram hashes, and a tree is built in each group of two or more.
@@ -19,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_ids, mix, text_slices, whole_groups, words
+from .common import U, cut, keep_ids, mix, text_slices, whole_groups, words
 
-NGRAM, THRESHOLD, ROUTES, GROUPS = 3, 0.6, 16, 64
+NGRAM, THRESHOLD, ROUTES = 3, 0.6, 16
+#: Smallest and largest number of groups, as powers of two; counts are stored in four bits, and what is above is summed up.
+LEAST_BITS, MOST_BITS, MOST_COUNT = 3, 20, 15
 FANOUT = 16
+#: Bytes of an n-gram's hash that are compared when a pair is verified.
+GRAM_BYTES = 6
 #: Queries that go down the tree together, and pairs they may have there: both bound a task's memory.
 TILE, TILE_PAIRS = 512, 1 << 21
 
@@ -47,8 +52,27 @@ def gram_sets(text: pa.Array, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], gram[new]
 
 
+def group_bits(size: np.ndarray) -> np.ndarray:
+    """log2 of the number of groups of a set of so many n-grams."""
+    return np.clip(np.log2(np.maximum(size, 1)).astype(np.int64) - 1, LEAST_BITS, MOST_BITS)
+
+
+def packed_counts(gram: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, bytes of each set, excess): the sets' group counts, two to a byte, and what went above 15."""
+    bits = group_bits(size)
+    width = (1 << bits) // 2
+    begin = np.cumsum(width) - width
+    owner = np.repeat(np.arange(len(size)), size)
+    group = (gram >> U(20)).astype(np.int64) & ((1 << bits[owner]) - 1)
+    count = np.bincount(2 * begin[owner] + group, minlength=2 * int(width.sum()))
+    over = np.flatnonzero(count > MOST_COUNT)
+    excess = np.bincount(np.searchsorted(2 * begin, over, side="right") - 1, count[over] - MOST_COUNT, len(size)).astype(np.int64)
+    low = np.minimum(count, MOST_COUNT).astype(np.uint8)
+    return low[0::2] | (low[1::2] << 4), width, excess
+
+
 def points(docs: DataFrame, n: int = NGRAM) -> DataFrame:
-    """(doc_id, sig, size, routes, vec): of each document with words; sig identifies its n-gram set."""
+    """(doc_id, sig, sig2, size, excess, routes, vec) of each document with words; sig and sig2 identify its n-gram set."""
 
     def run(batches):
         for batch in text_slices(batches):
@@ -57,69 +81,126 @@ def points(docs: DataFrame, n: int = NGRAM) -> DataFrame:
                 continue
             rows, first, size = np.unique(doc, return_index=True, return_counts=True)
             here = np.repeat(np.arange(len(rows)), size)
-            vec = np.bincount(here * GROUPS + (gram >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=len(rows) * GROUPS)
-            sig = np.add.reduceat(mix(gram ^ np.uint64(0x5851F42D4C957F2D)), first)
+            vec, width, excess = packed_counts(gram, size)
+            vecs = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(width))).astype(np.int32).tobytes()), pa.py_buffer(vec.tobytes())])
+            sig = np.add.reduceat(mix(gram ^ U(0x5851F42D4C957F2D)), first)
             sig2 = np.bitwise_xor.reduceat(gram, first)
-            place = np.arange(len(gram)) - first[here]
-            low = place < ROUTES
+            low = np.arange(len(gram)) - first[here] < ROUTES
             routes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.minimum(size, ROUTES)))).astype(np.int32)), pa.array(gram[low].view(np.int64)))
-            vecs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * GROUPS), len(rows), [None, pa.py_buffer(vec.astype("<i4").tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(sig.view(np.int64)), pa.array(sig2.view(np.int64)), pa.array(size.astype(np.int32)), routes, vecs], ["doc_id", "sig", "sig2", "size", "routes", "vec"])
-
-    return docs.mapInArrow(run, "doc_id long, sig long, sig2 long, size int, routes array<long>, vec binary")
+            columns = [batch.column("doc_id").take(pa.array(rows)), pa.array(sig.view(np.int64)), pa.array(sig2.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(excess.astype(np.int32)), routes, vecs]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sig", "sig2", "size", "excess", "routes", "vec"])
+
+    return docs.mapInArrow(run, "doc_id long, sig long, sig2 long, size int, excess int, routes array<long>, vec binary")
+
+
+class Points:
+    """Count vectors of one Arrow batch, by number of groups."""
+
+    def __init__(self, size: np.ndarray, excess: np.ndarray, vec: list[bytes]):
+        self.size, self.excess, self.bits = size, excess, group_bits(size)
+        self.at, self.of = np.zeros(len(size), np.int64), {}
+        for k in np.unique(self.bits).tolist():
+            rows = np.flatnonzero(self.bits == k)
+            self.at[rows] = np.arange(len(rows))
+            self.of[k] = np.frombuffer(b"".join([vec[r] for r in rows.tolist()]), np.uint8).reshape(len(rows), -1)
+
+    def counts(self, rows: np.ndarray, k: int) -> np.ndarray:
+        """The rows' counts in 2 ** k groups; none of them has fewer."""
+        out = np.empty((len(rows), 1 << k), np.uint8 if self.bits[rows].max(initial=k) - k < 4 else np.uint32)
+        for c in np.unique(self.bits[rows]).tolist():
+            mine = self.bits[rows] == c
+            raw = self.of[c][self.at[rows[mine]]]
+            full = np.empty((len(raw), 1 << c), np.uint8)
+            full[:, 0::2], full[:, 1::2] = raw & 15, raw >> 4
+            out[mine] = full if c == k else full.reshape(len(raw), 1 << (c - k), 1 << k).sum(1)
+        return out
+
+    def reach(self, a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+        """Whether each pair of rows could reach t, by sizes and then by the sum of minima."""
+        small, large = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
+        ok = small >= t * large - 1e-9
+        low = np.minimum(self.bits[a], self.bits[b])
+        for k in np.unique(low[ok]).tolist():
+            for rows in chunks(np.flatnonzero(ok & (low == k)), k):
+                x, y = a[rows], b[rows]
+                most = np.minimum(self.counts(x, k), self.counts(y, k)).sum(1, dtype=np.int64) + self.excess[x] + self.excess[y]
+                ok[rows] = most * (1 + t) >= t * (self.size[x] + self.size[y]) - 1e-9
+        return ok
+
+
+def chunks(rows: np.ndarray, k: int) -> list[np.ndarray]:
+    """rows in parts whose vectors of 2 ** k counts take some megabytes."""
+    step = max(16, (1 << 22) >> k)
+    return [rows[s : s + step] for s in range(0, len(rows), step)]
 
 
 class RTree:
-    """Packed R-tree of count vectors: rows sorted by size, then along the vector; FANOUT to a node."""
+    """Packed R-tree of count vectors, FANOUT to a node; rows are sorted by kin, then by size.
+
+    Rows of one kin other than 0 have met in another group already, and make no pair here.
+    """
 
-    def __init__(self, vec: np.ndarray, size: np.ndarray):
-        self.order = np.lexsort((*vec.T[:3], size))
-        self.leaf = vec[self.order]
+    def __init__(self, vec: np.ndarray, size: np.ndarray, excess: np.ndarray, kin: np.ndarray):
+        self.order = np.lexsort((*vec.T[:2], size, kin))
+        self.leaf, self.size, self.excess, self.kin = vec[self.order], size[self.order], excess[self.order], kin[self.order]
         self.levels = []
-        low = high = self.leaf
-        count = size[self.order]
-        small = large = count
-        while len(low) > FANOUT:
-            at = np.arange(0, len(low), FANOUT)
-            low, high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
-            small, large = np.minimum.reduceat(small, at), np.maximum.reduceat(large, at)
-            self.levels.append((high, small, large))
-        self.size = count
+        high, small, large, spare, least, most = self.leaf, self.size, self.size, self.excess, self.kin, self.kin
+        while len(high) > FANOUT:
+            at = np.arange(0, len(high), FANOUT)
+            high, large, spare, most = (np.maximum.reduceat(x, at) for x in (high, large, spare, most))
+            small, least = np.minimum.reduceat(small, at), np.minimum.reduceat(least, at)
+            self.levels.append((high, small, large, spare, least, most))
 
     def pairs(self, t: float):
-        """Arrays of (row, row) whose bound reaches t; every unordered pair is tried once, i before j."""
-        n = len(self.leaf)
+        """Arrays of (row, row) whose bound reaches t; every unordered pair is tried once."""
+        n, k = self.leaf.shape[0], int(self.leaf.shape[1]).bit_length() - 1
         tile = max(1, min(TILE, TILE_PAIRS // n))
         for base in range(0, n, tile):
             q = np.arange(base, min(n, base + tile))
-            # Pairs (query, node), from the root's children down.
+            # Pairs (query, node), from the top level down.
             nodes = len(self.levels[-1][0]) if self.levels else n
             a, b = np.repeat(q, nodes), np.tile(np.arange(nodes), len(q))
             for depth in range(len(self.levels) - 1, -1, -1):
-                high, small, large = self.levels[depth]
-                reach = (b + 1) * FANOUT ** (depth + 1) > a  # nodes wholly before the query are its partners' business
-                fits = (small[b] * t <= self.size[a]) & (large[b] >= self.size[a] * t) & reach
+                high, small, large, spare, least, most = self.levels[depth]
+                fits = (b + 1) * FANOUT ** (depth + 1) > a + 1  # what lies wholly before the query has tried it
+                fits &= (small[b] * t <= self.size[a]) & (large[b] >= self.size[a] * t)
+                fits &= ~((self.kin[a] > 0) & (least[b] == self.kin[a]) & (most[b] == self.kin[a]))
                 a, b = a[fits], b[fits]
                 ok = np.empty(len(a), bool)
-                for s in range(0, len(a), 1 << 15):
-                    x, y = a[s : s + (1 << 15)], b[s : s + (1 << 15)]
-                    most = np.minimum(self.leaf[x], high[y]).sum(1)
-                    ok[s : s + (1 << 15)] = most * (1 + t) >= t * (self.size[x] + small[y]) - 1e-9
+                for rows in chunks(np.arange(len(a)), k):
+                    x, y = a[rows], b[rows]
+                    shared = np.minimum(self.leaf[x], high[y]).sum(1, dtype=np.int64) + self.excess[x] + spare[y]
+                    ok[rows] = shared * (1 + t) >= t * (self.size[x] + small[y]) - 1e-9
                 a, b = a[ok], b[ok]
                 below = len(self.levels[depth - 1][0]) if depth else n
                 a = np.repeat(a, FANOUT)
                 b = (b[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                 a, b = a[b < below], b[b < below]
-            fits = (b > a) & (self.size[a] >= t * self.size[b])
+            fits = (b > a) & (np.minimum(self.size[a], self.size[b]) >= t * np.maximum(self.size[a], self.size[b]) - 1e-9)
+            fits &= (self.kin[a] != self.kin[b]) | (self.kin[a] == 0)
             a, b = a[fits], b[fits]
-            for s in range(0, len(a), 1 << 15):
-                x, y = a[s : s + (1 << 15)], b[s : s + (1 << 15)]
-                most = np.minimum(self.leaf[x], self.leaf[y]).sum(1)
-                ok = most * (1 + t) >= t * (self.size[x] + self.size[y]) - 1e-9
+            for rows in chunks(np.arange(len(a)), k):
+                x, y = a[rows], b[rows]
+                shared = np.minimum(self.leaf[x], self.leaf[y]).sum(1, dtype=np.int64) + self.excess[x] + self.excess[y]
+                ok = shared * (1 + t) >= t * (self.size[x] + self.size[y]) - 1e-9
                 if ok.any():
                     yield self.order[x[ok]], self.order[y[ok]]
 
 
+def crowd_pairs(points: Points, lo: int, hi: int, first: np.ndarray, key: np.uint64, t: float):
+    """Candidate pairs of the rows lo..hi, a tree for each number of groups; first: each row's smallest hash."""
+    rows, bits = np.arange(lo, hi), points.bits[lo:hi]
+    value, at, count = np.unique(first[lo:hi], return_inverse=True, return_counts=True)
+    kin = np.where((count[at] >= FANOUT) & (value[at] < key), at + 1, 0)
+    for k in np.unique(bits).tolist():
+        most = points.size[lo:hi][bits == k].max() / t
+        mine = rows[(bits == k) | ((bits > k) & (points.size[lo:hi] <= most))]
+        tree = RTree(points.counts(mine, k), points.size[mine], points.excess[mine], kin[mine - lo])
+        for a, b in tree.pairs(t):
+            own = (points.bits[mine[a]] == k) | (points.bits[mine[b]] == k)
+            yield mine[a[own]], mine[b[own]]
+
+
 def first_common(routes: np.ndarray, a: np.ndarray, b: np.ndarray, key: np.ndarray, step: int = 1 << 14) -> np.ndarray:
     """Whether each pair's key is the smallest hash that rows a and b of routes (padded with the largest) share."""
     out = np.empty(len(a), bool)
@@ -134,14 +215,13 @@ def first_common(routes: np.ndarray, a: np.ndarray, b: np.ndarray, key: np.ndarr
 
 
 def route_pairs(routed: DataFrame, t: float) -> DataFrame:
-    """(key, a, b): candidate pairs of each group of routed(key, node, size, routes, vec), by an R-tree."""
+    """(key, a, b): candidate pairs of each group of routed(key, node, size, excess, routes, vec), by an R-tree."""
 
     def run(batches):
-        for group in whole_groups(batches, "key"):
+        for group in whole_groups(batches, "key", 1 << 14):
             group = group.combine_chunks()
-            key = group["key"].to_numpy()
-            node, size = group["node"].to_numpy(), group["size"].to_numpy().astype(np.int64)
-            vec = np.frombuffer(b"".join(group["vec"].to_pylist()), "<i4").reshape(-1, GROUPS)
+            key, node = group["key"].to_numpy(), group["node"].to_numpy()
+            points = Points(group["size"].to_numpy().astype(np.int64), group["excess"].to_numpy().astype(np.int64), group["vec"].to_pylist())
             lists = group["routes"].combine_chunks()
             flat = lists.flatten().to_numpy().view(np.uint64)
             length = np.diff(lists.offsets.to_numpy())
@@ -149,17 +229,13 @@ def route_pairs(routed: DataFrame, t: float) -> DataFrame:
             routes[np.repeat(np.arange(len(key)), length), np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)] = flat
             begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             end = np.append(begin[1:], len(key))
-            two = begin[end - begin == 2]
-            out = []
-            if len(two):  # most groups are two rows: all of them at once
-                a, b = two, two + 1
-                small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-                ok = (small >= t * large) & (np.minimum(vec[a], vec[b]).sum(1) * (1 + t) >= t * (small + large) - 1e-9)
-                out.append((a[ok], b[ok]))
-            for lo, hi in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist()):
-                for a, b in RTree(vec[lo:hi], size[lo:hi]).pairs(t):
-                    out.append((a + lo, b + lo))
-            for a, b in out:
+            few = end - begin <= 4  # most groups are a few rows: all of them at once
+            a, b = small_pairs(begin[few], end[few])
+            ok = points.reach(a, b, t)
+            found = [(a[ok], b[ok])]
+            for lo, hi in zip(begin[~few].tolist(), end[~few].tolist()):
+                found += crowd_pairs(points, lo, hi, routes[:, 0], key[lo].view(np.uint64), t)
+            for a, b in found:
                 ok = first_common(routes, a, b, key[a].view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key[a[ok]]), pa.array(node[a[ok]]), pa.array(node[b[ok]])], ["key", "a", "b"])
 
@@ -167,19 +243,39 @@ def route_pairs(routed: DataFrame, t: float) -> DataFrame:
     return ordered.mapInArrow(run, "key long, a long, b long")
 
 
+def small_pairs(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows within each of some short ranges."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    most = int((end - begin).max(initial=0))
+    for i in range(most):
+        for j in range(i + 1, most):
+            there = begin[begin + j < end]
+            a.append(there + i)
+            b.append(there + j)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def sets(docs: DataFrame, n: int) -> DataFrame:
-    """(node, grams): the n-gram hashes of each document, sorted, eight bytes each."""
+    """(node, grams): the n-gram hashes of each document, six bytes each."""
 
     def run(batches):
         for batch in text_slices(batches):
             doc, gram = gram_sets(batch.column("text"), n)
-            cutat = np.searchsorted(doc, np.arange(batch.num_rows + 1)) * 8
-            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(cutat.astype(np.int64).tobytes()), pa.py_buffer(gram.tobytes())])
+            place = np.searchsorted(doc, np.arange(batch.num_rows + 1)) * GRAM_BYTES
+            low = np.ascontiguousarray(gram.view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES])
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(place.astype(np.int64).tobytes()), pa.py_buffer(low)])
             yield pa.RecordBatch.from_arrays([batch.column("node"), raw.cast(pa.binary())], ["node", "grams"])
 
     return docs.mapInArrow(run, "node long, grams binary")
 
 
+def unpacked(grams: pa.Buffer) -> np.ndarray:
+    low = np.frombuffer(grams, np.uint8).reshape(-1, GRAM_BYTES)
+    full = np.zeros((len(low), 8), np.uint8)
+    full[:, :GRAM_BYTES] = low
+    return full.view(np.uint64)[:, 0]
+
+
 def shared_counts(grams: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sets a[k] and b[k]; a is sorted."""
     size = np.array([len(g) for g in grams])
@@ -213,7 +309,7 @@ def verified(pairs: DataFrame, grams: DataFrame, t: float) -> DataFrame:
             for lo, hi in zip(begin.tolist(), np.append(begin[1:], len(key)).tolist()):
                 middle = lo + int(np.searchsorted(kind[lo:hi], 1))
                 node = a[lo:middle]  # sorted
-                raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["grams"][lo:middle]]
+                raw = [unpacked(x.as_buffer()) for x in group["grams"][lo:middle]]
                 x, y = a[middle:hi], b[middle:hi]
                 left, right = np.searchsorted(node, x), np.searchsorted(node, y)
                 same = shared_counts(raw, left, right)
@@ -232,11 +328,11 @@ def nodes_and_edges(docs: DataFrame, t: float, n: int) -> tuple[DataFrame, DataF
     docs has one row for each doc_id; see one_text.
     """
     every = cut(points(docs, n))
-    node = every.groupBy("sig", "sig2", "size").agg(F.min("doc_id").alias("node"), F.min_by("routes", "doc_id").alias("routes"), F.min_by("vec", "doc_id").alias("vec"))
+    node = every.groupBy("sig", "sig2", "size").agg(F.min("doc_id").alias("node"), F.first("excess").alias("excess"), F.first("routes").alias("routes"), F.first("vec").alias("vec"))
     member = every.select("doc_id", "sig", "sig2", "size").join(node.select("sig", "sig2", "size", "node"), ["sig", "sig2", "size"]).select("doc_id", "node")
     keys = node.select(F.explode("routes").alias("key"), "node")
     shared = keys.groupBy("key").agg(F.collect_list("node").alias("at")).where(F.size("at") > 1).select("key", F.explode("at").alias("node"))
-    routed = shared.join(node.select("node", "size", "routes", "vec"), "node")
+    routed = shared.join(node.select("node", "size", "excess", "routes", "vec"), "node")
     pairs = cut(route_pairs(routed, t))
     wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
     texts = keep_ids(docs, wanted).withColumnRenamed("doc_id", "node")

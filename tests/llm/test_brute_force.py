@@ -388,14 +388,32 @@ def test_pairs_of_edited_copies(spark):
     assert got.items() <= want.items() and len(got) >= 0.98 * len(want) > 50
 
 
+def test_points_bound_the_overlap_at_every_number_of_groups():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 3, 40, 90, 700, 5000)]
+    sets += [np.unique(np.concatenate((s[: len(s) * 3 // 4], rng.integers(0, 1 << 63, len(s) // 5 + 1).astype(np.uint64)))) for s in sets]
+    sets.append(np.arange(1, 200, dtype=np.uint64))  # all in one group
+    sets.append(np.concatenate((sets[-1], np.arange(1, 150, dtype=np.uint64) << np.uint64(20))))
+    size = np.array([len(s) for s in sets])
+    vec, width, excess = ngram_join.packed_counts(np.concatenate(sets), size)
+    cuts = np.cumsum(width)[:-1]
+    points = ngram_join.Points(size, excess, [v.tobytes() for v in np.split(vec, cuts)])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    for t in (0.2, 0.6, 0.9):
+        near = np.array([len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= t for i, j in zip(a, b)])
+        assert points.reach(a, b, t)[near].all()
+
+
 def test_tree_drops_no_pair_that_its_bound_allows():
     rng = np.random.default_rng(3)
-    vec = rng.poisson(2, (300, ngram_join.GROUPS))
-    vec[150:] = vec[:150] + (rng.random((150, ngram_join.GROUPS)) < 0.05)
-    size = vec.sum(1)
-    got = {tuple(sorted(p)) for a, b in ngram_join.RTree(vec, size).pairs(0.8) for p in zip(a.tolist(), b.tolist())}
-    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if np.minimum(vec[i], vec[j]).sum() * 1.8 >= 0.8 * (size[i] + size[j]) - 1e-9 and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])}
-    assert got == want and len(want) >= 150
+    vec = rng.poisson(2, (300, 64))
+    vec[150:] = vec[:150] + (rng.random((150, 64)) < 0.05)
+    size, none = vec.sum(1), np.zeros(300, np.int64)
+    kin = np.where(np.arange(300) % 3 == 0, np.arange(300) % 2 + 1, 0)
+    got = [tuple(sorted(p)) for a, b in ngram_join.RTree(vec, size, none, kin).pairs(0.8) for p in zip(a.tolist(), b.tolist())]
+    near = [(i, j) for i in range(300) for j in range(i + 1, 300) if np.minimum(vec[i], vec[j]).sum() * 1.8 >= 0.8 * (size[i] + size[j]) - 1e-9 and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])]
+    want = {(i, j) for i, j in near if kin[i] != kin[j] or kin[i] == 0}
+    assert set(got) == want and len(got) == len(want) >= 100
 
 
 def test_pairs_are_made_where_they_meet_first():
