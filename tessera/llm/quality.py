@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import K1, K3, U, byte_table, cut, flat, hash_runs, mix, runs, text_slices
+from .common import K1, K3, U, byte_table, cut, flat, hash_runs, keep_ids, mix, runs, text_slices
 
 #: Hashed vocabulary and vector size: what is gathered from the corpus is this matrix, of one size always.
 BUCKETS, DIMS, NEIGHBOURS, SPOTS = 1 << 14, 32, 2, 2
@@ -149,8 +149,9 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 7) -> dict:
 def labelled(features: DataFrame, labels: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(x, y) of at most `rows` labelled documents, those with the lowest hash of doc_id."""
     pick = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    pick = pick.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = pick.join(features.groupBy("doc_id").agg(F.min("x").alias("x")), "doc_id").orderBy("doc_id").select("x", "quality").toArrow()
+    pick = cut(pick.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    mine = keep_ids(features, pick.select("doc_id"))
+    found = pick.join(mine.groupBy("doc_id").agg(F.min("x").alias("x")), "doc_id").orderBy("doc_id").select("x", "quality").toArrow()
     x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(found.num_rows, -1) if found.num_rows else np.zeros((0, 2 * DIMS))
     return x.astype(np.float64), found["quality"].to_numpy().astype(np.float64)
 
