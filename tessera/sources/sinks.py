@@ -76,3 +76,8 @@ def bit_line(predictions: DataFrame) -> DataFrame:
     """(value): predictions(row, hit) as 0 and 1, in the order of row, with spaces."""
     bits = F.transform(F.array_sort(F.collect_list(F.struct("row", F.col("hit").cast("int").alias("hit")))), lambda x: x["hit"].cast("string"))
     return predictions.agg(F.array_join(bits, " ").alias("value"))
+
+
+def board_lines(ranked: DataFrame) -> DataFrame:
+    """(value): "tag : count" of ranked(tag, n, rank), best first: one block of a trending board."""
+    return ranked.orderBy("rank", "tag").select(F.format_string("%s : %d", "tag", "n").alias("value"))

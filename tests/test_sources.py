@@ -74,6 +74,8 @@ def test_text_reports(spark):
     assert lines(sinks.cluster_map(assigned)) == ['{"1": 5, "2": -1}']
     bits = spark.createDataFrame([(1, 0), (0, 1)], "row long, hit int")
     assert lines(sinks.bit_line(bits)) == ["1 0"]
+    ranked = sketch.trending(spark.createDataFrame([(t,) for t in "abba"], "t string"), "t")
+    assert lines(sinks.board_lines(ranked)) == ["a : 2", "b : 2"]
 
 
 def test_streams_equal_batches(spark, small):
@@ -90,6 +92,35 @@ def test_append_mode_gives_closed_windows_only(spark, small):
     assert closed < every
 
 
+def test_boards_are_appended_by_batch(spark, small, tmp_path):
+    counts = streams.tag_counts(streams.event_stream(spark, small))
+    written = streams.run_for(counts, lambda batch, _: sinks.write_lines(sinks.board_lines(streams.board(batch)), str(tmp_path / "board")), 20, "complete", "1 second")
+    assert not written.isActive
+    assert spark.read.text(str(tmp_path / "board")).count() == 3
+
+
+def test_socket_stream_has_a_value_column(spark):
+    import socket
+    import threading
+
+    server = socket.create_server(("localhost", 0))
+
+    def serve():
+        while True:
+            try:
+                client, _ = server.accept()
+            except OSError:
+                return
+            client.sendall(b'{"entities": {"hashtags": [{"text": "Ab"}]}}\n')
+
+    threading.Thread(target=serve, daemon=True).start()
+    found = []
+    stream = tables.tags(streams.json_stream(streams.socket_lines(spark, server.getsockname()[1]), tables.TWEET))
+    streams.run_for(stream, lambda batch, _: found.extend(r.tag for r in batch.collect()), 8, "append", "1 second")
+    server.close()
+    assert found == ["Ab"]
+
+
 def test_stateful_reservoir_equals_batch(spark, small):
     held = streams.drain(streams.stateful_reservoir(streams.event_stream(spark, small), "event_id", 50), mode="update")
     want = {r.event_id for r in sketch.reservoir(tables.table(spark, small, "events"), "event_id", 50).collect()}
