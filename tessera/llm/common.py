@@ -46,6 +46,12 @@ def keep_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", limit: int =
     return df.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), ids.columns, how).select(df.columns)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session makes Arrow batches of a few megabytes at most, however long the texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))
+    return df
+
+
 def once(name: str, make: Callable):
     """make()'s result, kept for later tasks of this Python worker; functions travel by value, so their modules keep nothing."""
     held = sys.__dict__.setdefault("_tessera_once", {})
@@ -68,6 +74,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             to = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()
+
+
+def in_slices(run: Callable, text: pa.Array, *more: pa.Array) -> pa.Array:
+    """run(text, *more), called on slices of bounded size; for Arrow functions, which get whole batches."""
+    batch = pa.RecordBatch.from_arrays([text, *more], ["text", *(str(k) for k in range(len(more)))])
+    parts = [run(*part.columns) for part in text_slices([batch])]
+    return pa.concat_arrays(parts) if parts else run(text, *more)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

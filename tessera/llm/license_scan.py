@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import once, text_slices, words
+from .common import once, small_batches, text_slices, words
 
 #: Notices as they are commonly written; a parameter of license_scan.
 TEMPLATES = {
@@ -152,4 +152,4 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
                 size = np.array([len(x) for x in once(f"licences {hash(tuple(templates.items()))}", lambda: prepare(templates))[1]])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), pa.array([names[x] for x in k]), pa.array(np.round(n / size[k], 6)), pa.array(a), pa.array(b - a + 1)], ["doc_id", "license", "coverage", "first_word", "n_words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, license string, coverage double, first_word long, n_words long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, license string, coverage double, first_word long, n_words long")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_slices, words
+from .common import cut, small_batches, text_slices, words
 
 K, K1, B = 10, 1.2, 0.75
 #: Words after which a task searches what it has read; queries that are searched in one pass.
@@ -142,7 +142,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     ranked each; repeated queries and those with a null item_id are answered each. Texts are read
     whole; other columns aren't read. Queries come to the driver in blocks of 4096, a pass each.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     numbered = cut(queries.select("item_id", "text").withColumn("q", F.monotonically_increasing_id()))
     parts, after = [], -1
     while True:

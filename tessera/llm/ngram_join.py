@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, keep_ids, mix, text_slices, whole_groups, words
+from .common import U, cut, keep_ids, mix, small_batches, text_slices, whole_groups, words
 
 NGRAM, THRESHOLD, ROUTES = 3, 0.6, 16
 #: Smallest and largest number of groups, as powers of two; counts are stored in four bits, and what is above is summed up.
@@ -29,7 +29,7 @@ FANOUT = 16
 #: Bytes of an n-gram's hash that are compared when a pair is verified.
 GRAM_BYTES = 6
 #: Queries that go down the tree together, and pairs they may have there: both bound a task's memory.
-TILE, TILE_PAIRS = 512, 1 << 21
+TILE, TILE_PAIRS = 512, 1 << 19
 
 
 def gram_sets(text: pa.Array, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +90,7 @@ def points(docs: DataFrame, n: int = NGRAM) -> DataFrame:
             columns = [batch.column("doc_id").take(pa.array(rows)), pa.array(sig.view(np.int64)), pa.array(sig2.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(excess.astype(np.int32)), routes, vecs]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sig", "sig2", "size", "excess", "routes", "vec"])
 
-    return docs.mapInArrow(run, "doc_id long, sig long, sig2 long, size int, excess int, routes array<long>, vec binary")
+    return small_batches(docs).mapInArrow(run, "doc_id long, sig long, sig2 long, size int, excess int, routes array<long>, vec binary")
 
 
 class Points:
@@ -318,7 +318,7 @@ def verified(pairs: DataFrame, grams: DataFrame, t: float) -> DataFrame:
                 ok = j >= t
                 yield pa.RecordBatch.from_arrays([pa.array(x[ok]), pa.array(y[ok]), pa.array(j[ok])], ["a", "b", "jaccard"])
 
-    both = held.union(asked).repartition("key").sortWithinPartitions("key", "kind", "a")
+    both = small_batches(held.union(asked)).repartition("key").sortWithinPartitions("key", "kind", "a")
     return both.mapInArrow(run, "a long, b long, jaccard double")
 
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, cut, flat, runs, text_slices
+from .common import SPACED, cut, flat, runs, small_batches, text_slices
 
 TIERS = (1024, 4096, 16384)  # words a window
 SHARD_WORDS = 4_000_000
@@ -35,7 +35,7 @@ def lengths(docs: DataFrame) -> DataFrame:
             n = np.bincount(doc, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64))], ["doc_id", "n_words"]).filter(pa.array(n > 0))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "doc_id long, n_words long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "doc_id long, n_words long")
 
 
 def best_fit(size: int, own: list, shorter: list[list]) -> tuple[list[list], list[list]]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import K1, U, flat, hash_runs, once, text_slices
+from .common import K1, U, flat, hash_runs, once, small_batches, text_slices
 
 #: Public model; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -289,7 +289,7 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=null)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(np.diff(offsets), mask=hide), pc.if_else(null, None, pc.equal(plain, back))], ["doc_id", "ids", "n_tokens", "round_trip"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, ENCODED)
+    return small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, ENCODED)
 
 
 def decoded(tokens: DataFrame, path: str = MODEL) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import K1, K3, U, byte_table, cut, flat, hash_runs, keep_ids, mix, runs, text_slices
+from .common import K1, K3, U, byte_table, cut, flat, hash_runs, keep_ids, mix, runs, small_batches, text_slices
 
 #: Hashed vocabulary and vector size: what is gathered from the corpus is this matrix, of one size always.
 BUCKETS, DIMS, NEIGHBOURS, SPOTS = 1 << 14, 32, 2, 2
@@ -64,7 +64,7 @@ def context_sums(docs: DataFrame) -> np.ndarray:
         return pa.table({"part": group["part"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
     schema = "part long, sums binary"
-    parts = docs.select("text").mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).orderBy("part").collect()
+    parts = small_batches(docs).select("text").mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).orderBy("part").collect()
     if not parts:
         return np.zeros((BUCKETS, DIMS + 1))
     return np.concatenate([np.frombuffer(r.sums) for r in parts]).reshape(BUCKETS, DIMS + 1)

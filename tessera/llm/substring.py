@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACED, cut, flat, hash_runs, keep_ids, places, runs, signed, text_slices, windows
+from .common import BROADCAST_ROWS, SPACED, cut, flat, hash_runs, in_slices, keep_ids, places, runs, signed, small_batches, text_slices, windows
 
 PERIOD, COVER, WIDTH = 31, (1, 5, 11, 24, 25, 27), 15
 #: Shortest passage, in words, that counts as a repeat: what the cover is sure to find.
@@ -93,7 +93,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     is in a run; no word of a first one is. Documents with a null doc_id aren't searched; null,
     empty and short texts have no rows. Texts are searched whole. Other columns aren't read.
     """
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = every.where("doc_id is not null and text is not null")
     seen = anchors(named).withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
     spots = cut(seen.groupBy("doc_id").agg(F.array_distinct(F.collect_list("p")).alias("at")))
@@ -127,8 +127,10 @@ def without_words(text: pa.Array, spans: pa.Array) -> pa.Array:
     b = a + values.field("n_words").to_numpy(zero_copy_only=False)
     begin = np.append(start, len(data))
     to = np.where(b < first[owner + 1], begin[np.minimum(b, len(start))], offsets[owner + 1])
-    mark = np.bincount(begin[a], minlength=len(data) + 1) - np.bincount(to, minlength=len(data) + 1)
-    stay = np.cumsum(mark)[: len(data)] <= 0
+    mark = np.zeros(len(data) + 1, np.int32)
+    np.add.at(mark, begin[a], 1)
+    np.add.at(mark, to, -1)
+    stay = np.cumsum(mark, dtype=np.int32)[: len(data)] <= 0
     total = np.concatenate(([0], np.cumsum(stay)))[offsets].astype(np.int32)
     return pa.StringArray.from_buffers(n, pa.py_buffer(total.tobytes()), pa.py_buffer(data[stay].tobytes()))
 
@@ -146,7 +148,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rest = keep_ids(rows, spans.select("doc_id", "v"), "left_anti").select("row.*")
 
     def less(text: pa.Array, spans: pa.Array) -> pa.Array:
-        return without_words(text, spans)
+        return in_slices(without_words, text, spans)
 
     cut_text = F.arrow_udf(less, "string")("text", "spans")
     row = F.col("row").withField("text", F.col("new"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import once
+from .common import once, small_batches
 
 #: Public vocabulary (tiktoken ranks); a parameter of every function here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -78,4 +78,4 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
         n = count_tokens(text.to_pylist(), path)
         return pa.array(n, mask=text.is_null().to_numpy(zero_copy_only=False))
 
-    return docs.select("doc_id", F.arrow_udf(lengths, "bigint")("text").alias("n_tokens"))
+    return small_batches(docs).select("doc_id", F.arrow_udf(lengths, "bigint")("text").alias("n_tokens"))

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, flat, hash_runs, hash_word, once, runs
+from .common import byte_table, flat, hash_runs, hash_word, in_slices, once, runs, small_batches
 
 INSULT, THREAT, WISH, TARGET, NEGATION, REPORT, INTENT, QUOTE, BREAK, GAP, DENIED = range(1, 12)
 SYMBOLS = 12
@@ -198,6 +198,10 @@ def score_texts(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def scored(text: pa.Array) -> pa.Array:
+    return in_slices(scored_slice, text)
+
+
+def scored_slice(text: pa.Array) -> pa.Array:
     score, matched, toxic = score_texts(text)
     return pa.StructArray.from_arrays([pa.array(score), pa.array(matched), pa.array(toxic)], ["score", "clauses", "toxic"])
 
@@ -213,10 +217,10 @@ def toxic_documents(docs: DataFrame) -> DataFrame:
     A null or empty text has score 0 and isn't rejected; a null doc_id stays null in the result.
     Repeated rows are scored each for itself. Long texts are read whole; other columns aren't read.
     """
-    rows = docs.select("doc_id", toxicity_of("text").alias("t"))
+    rows = small_batches(docs).select("doc_id", toxicity_of("text").alias("t"))
     return rows.where("t.toxic").select("doc_id", F.round("t.score", 6).alias("score"), "t.clauses", "t.toxic")
 
 
 def without_toxic(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that aren't rejected; see toxic_documents."""
-    return docs.where(~toxicity_of("text")["toxic"])
+    return small_batches(docs).where(~toxicity_of("text")["toxic"])
