@@ -4,7 +4,8 @@ Small transducers for negation, insult, target, threat and reported speech read
 symbols one after the other; their composition is one deterministic table, which scores all clauses
 of an Arrow slice at once, a symbol a step. A word alone decides nothing: its clause does. A denied
 insult ("not an idiot") weighs nothing, one aimed at someone weighs double, and a clause that
-reports speech is discounted.
+reports speech is discounted. A document's length decides nothing: clauses that hold more than one
+unaimed insult add up over all of it, those with less (it may be about clowns or trash) where they stand near each other.
 """
 
 from __future__ import annotations
@@ -33,8 +34,12 @@ LEXICON = {
 }
 FILLERS = 4  # so many other words in a row part what stands on either side
 WEIGHT = {"insult": 0.5, "aimed": 0.5, "threat": 1.5, "bare threat": 0.75, "wish": 1.5, "reported": 0.25}
-#: A document is toxic from this score on, if it also has this much in a thousand of its words.
-THRESHOLD, PER_THOUSAND = 1.0, 1.0
+#: A document is toxic from this score on. Clauses of at most LONE count only together with those within NEAR words.
+THRESHOLD, LONE, NEAR = 1.0, 0.5, 1000
+#: Insults that are plain words of French too: none in a clause that has more of FRENCH and of accented words than of ENGLISH.
+HOMOGRAPHS = "vile"
+FRENCH = "le la les l de des du d et un une est que qui dans pour avec sur par pas au aux en il elle ne ce cette son sa ses"
+ENGLISH = "the a an and of to in is are was were be it that this with for on as at by from or but so such how what i my me we who"
 
 
 class Transducer(NamedTuple):
@@ -140,8 +145,21 @@ def prepare():
     return np.array([h for h, _ in pairs], np.uint64), np.array([k for _, k in pairs]), screen, kinds, tables(grammar())
 
 
+def foreign(data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, symbol: np.ndarray, clause: np.ndarray) -> np.ndarray:
+    """Whether each word is one of HOMOGRAPHS in a French clause."""
+    homograph, french, english = once("toxicity words", lambda: [np.array([hash_word(w) for w in line.split()], np.uint64) for line in (HOMOGRAPHS, FRENCH, ENGLISH)])
+    mine = np.isin(h, homograph)
+    if mine.any():
+        n = int(clause[-1]) + 1
+        accents = np.concatenate(([0], np.cumsum(data == 0xC3)))
+        there = np.bincount(clause, np.isin(h, french) | (accents[end] > accents[start]), n)
+        here = np.bincount(clause, np.isin(h, english) | (symbol == TARGET), n)
+        mine &= (there > here)[clause]
+    return mine
+
+
 def clause_symbols(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, clause of each, document of each clause, words of each document)."""
+    """(symbols, clause of each, document of each clause, words before each clause in all documents)."""
     for curly, plain in (("“", '"'), ("”", '"'), ("’", "'")):
         text = pc.replace_substring(text, curly, plain)
     known, kind_of, _, kinds, _ = prepared()
@@ -153,17 +171,18 @@ def clause_symbols(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
     symbol = np.select([kind == 3, kind == 4], [BREAK, QUOTE], 0)
     symbol[word] = np.where(known[at] == h, kind_of[at], 0)
-    total = np.bincount(doc[word], minlength=len(offsets) - 1)
     begins = np.concatenate(([True], doc[1:] != doc[:-1]))[: len(doc)] | np.concatenate(([False], kind[:-1] == 2))[: len(doc)]
     clause = np.cumsum(begins) - 1
-    of = doc[begins]
+    of, before = doc[begins], (np.cumsum(word) - word)[begins]
+    at = np.flatnonzero(word)
+    symbol[at[foreign(data, start[at], end[at], h, symbol[at], clause[at])]] = 0
     other = word & (symbol == 0)
     first = other & ~np.concatenate(([False], other[:-1] & (clause[1:] == clause[:-1])))[: len(other)]
     head = np.flatnonzero(first)
     length = np.add.reduceat(other, head, dtype=np.int64) if len(head) else head  # others end each run: what is no filler adds 0
     symbol[head[length >= FILLERS]] = GAP
     keep = symbol > 0
-    return symbol[keep], clause[keep], of, total
+    return symbol[keep], clause[keep], of, before
 
 
 def score_clauses(symbol: np.ndarray, clause: np.ndarray, n: int) -> np.ndarray:
@@ -183,17 +202,30 @@ def score_clauses(symbol: np.ndarray, clause: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def weighed(score: np.ndarray, of: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
+    """What counts of each of n documents: its clauses' scores above LONE, and the most that others have within NEAR words."""
+    out = np.bincount(of, np.where(score > LONE, score, 0), n)
+    low = np.flatnonzero((score > 0) & (score <= LONE))
+    if len(low):
+        total = np.concatenate(([0], np.cumsum(score[low])))
+        first = np.maximum(np.searchsorted(before[low], before[low] - NEAR), np.searchsorted(of[low], of[low]))
+        most = np.zeros(n)
+        np.maximum.at(most, of[low], total[1:] - total[first])
+        out += most
+    return out
+
+
 def score_texts(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(score, clauses that scored, toxic) of each text."""
     n = len(text)
     score, matched, toxic = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, bool)
     hit = np.flatnonzero(pc.fill_null(pc.match_substring_regex(text, prepared()[2]), False).to_numpy(zero_copy_only=False))
     if len(hit):
-        symbol, clause, of, words = clause_symbols(text.take(pa.array(hit)))
+        symbol, clause, of, before = clause_symbols(text.take(pa.array(hit)))
         scores = score_clauses(symbol, clause, len(of))
         score[hit] = np.bincount(of, scores, len(hit))
         matched[hit] = np.bincount(of, scores > 0, len(hit))
-        toxic[hit] = (score[hit] >= THRESHOLD) & (score[hit] * 1000 >= PER_THOUSAND * words)
+        toxic[hit] = weighed(scores, of, before, len(hit)) >= THRESHOLD
     return score, matched, toxic
 
 

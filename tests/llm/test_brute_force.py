@@ -149,6 +149,27 @@ def test_toxic_sentences(text, toxic):
     assert toxicity.score_texts(pa.array([text]))[2].tolist() == [toxic]
 
 
+CALM = "The day was calm and nothing came of it. "
+
+
+@pytest.mark.parametrize(
+    ("text", "toxic"),
+    [
+        ("I will kill you. " + CALM * 200, True),
+        (CALM * 1000 + "I will kill you. " + CALM * 1000, True),
+        (CALM * 2000 + "You are a moron.", True),
+        ((CALM * 180 + "I will kill you. ") * 10, True),
+        ("Kill them. " + CALM * 400 + "Kill them.", True),
+        (CALM * 400 + "What a moron. A clown. " + CALM * 400, True),
+        ("A clown. " + CALM * 400 + "The trash.", False),
+        ("La ville est vile. Une vile affaire. Que la vie est vile.", False),
+        ("You are a vile naïve person.", True),
+    ],
+)
+def test_length_does_not_decide(text, toxic):
+    assert toxicity.score_texts(pa.array(["x", text, "A clown."]))[2].tolist() == [False, toxic, False]
+
+
 def test_labelled_documents(docs, spark, small):
     labels = documents(spark, small, "labels").where("toxic = 0").select("doc_id")
     assert toxicity.toxic_documents(docs).join(labels, "doc_id").count() == 0
