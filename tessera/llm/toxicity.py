@@ -140,7 +140,8 @@ def prepared():
 
 def prepare():
     pairs = sorted((hash_word(w), k) for k, line in LEXICON.items() for w in line.split())
-    screen = rf"(?i)\b({'|'.join(' '.join(LEXICON[k] for k in (INSULT, THREAT, WISH)).split())})\b"
+    some = "|".join(" ".join(LEXICON[k] for k in (INSULT, THREAT, WISH)).split())
+    screen = rf"(?i)(^|[^a-z0-9])({some})([^a-z0-9]|$)"  # \b would take _ as a letter
     kinds = byte_table("abcdefghijklmnopqrstuvwxyz0123456789'", ".!?;\n", ",:()|", '"', high=1)
     return np.array([h for h, _ in pairs], np.uint64), np.array([k for _, k in pairs]), screen, kinds, tables(grammar())
 

@@ -170,6 +170,11 @@ def test_length_does_not_decide(text, toxic):
     assert toxicity.score_texts(pa.array(["x", text, "A clown."]))[2].tolist() == [False, toxic, False]
 
 
+@pytest.mark.parametrize("text", ["You are a _moron_ and I will _kill_ you.", "_You_ _idiot_", "you\nMORON\nyou", "“you moron”", "you __moron"])
+def test_screen_reads_what_the_grammar_knows(text):
+    assert toxicity.score_texts(pa.array([text]))[0][0] > 0
+
+
 def test_labelled_documents(docs, spark, small):
     labels = documents(spark, small, "labels").where("toxic = 0").select("doc_id")
     assert toxicity.toxic_documents(docs).join(labels, "doc_id").count() == 0
