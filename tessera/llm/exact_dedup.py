@@ -117,13 +117,14 @@ def firsts(d: DataFrame) -> DataFrame:
 
 
 def same_bytes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (doc_id, keep_id) whose texts are equal byte for byte; only their texts are moved."""
+    """The pairs (doc_id, keep_id, digest) whose texts of that digest are equal byte for byte; only their texts are moved."""
     wanted = cut(pairs.select("doc_id").union(pairs.select("keep_id")).distinct())
     texts = keep_ids(docs.select("doc_id", "text").where(F.col("text").isNotNull()), wanted)
-    left = pairs.join(texts, "doc_id")
-    right = texts.select(F.col("doc_id").alias("keep_id"), F.col("text").alias("kept"))
-    equal = left.join(right, "keep_id").where(F.col("text") == F.col("kept"))
-    return equal.select("doc_id", "keep_id").distinct()
+    texts = texts.withColumn("digest", F.unhex(F.md5("text")))
+    left = pairs.join(texts, ["doc_id", "digest"])
+    right = texts.select(F.col("doc_id").alias("keep_id"), "digest", F.col("text").alias("kept"))
+    equal = left.join(right, ["keep_id", "digest"]).where(F.col("text") == F.col("kept"))
+    return equal.select("doc_id", "keep_id", "digest").distinct()
 
 
 def exact_copies(docs: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
@@ -136,6 +137,11 @@ def exact_copies(docs: DataFrame, snapshot: DataFrame | None = None) -> DataFram
     several texts is compared by each of them. Texts are compared whole. Columns other than doc_id
     and text aren't read. An empty table gives an empty result.
     """
+    return copied_texts(docs, snapshot).select("doc_id", "keep_id").distinct()
+
+
+def copied_texts(docs: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+    """(doc_id, keep_id, digest): exact_copies, with which text of doc_id is the copy."""
     spark = docs.sparkSession
     mine = digests(docs)
     if snapshot is None:
@@ -156,7 +162,7 @@ def exact_copies(docs: DataFrame, snapshot: DataFrame | None = None) -> DataFram
         seen_pairs = mine.join(matched.where("held_id is not null"), "digest").select("doc_id", F.col("held_id").alias("keep_id"), "digest")
         fresh = matched.where("held_id is null").select("digest", "k", "first")
     own_pairs = mine.join(fresh, "digest").where(F.col("doc_id") != F.col("first")).select("doc_id", F.col("first").alias("keep_id"), "digest")
-    pairs = cut(seen_pairs.select("doc_id", "keep_id").union(own_pairs.select("doc_id", "keep_id")).distinct())
+    pairs = cut(seen_pairs.union(own_pairs).distinct())
     everything = docs.select("doc_id", "text") if snapshot is None else docs.select("doc_id", "text").union(snapshot.select("doc_id", "text"))
     return same_bytes(everything, pairs)
 
@@ -170,18 +176,24 @@ def generations(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def copies_in(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id) over a whole table: its first generation against itself, the second against that."""
+    return copied_texts_in(docs).select("doc_id", "keep_id").distinct()
+
+
+def copied_texts_in(docs: DataFrame) -> DataFrame:
+    """(doc_id, keep_id, digest): copies_in, with which text of doc_id is the copy."""
     snapshot, incoming = generations(docs)
-    own = cut(exact_copies(snapshot))
-    return own.union(exact_copies(incoming, snapshot))
+    own = cut(copied_texts(snapshot))
+    return own.union(copied_texts(incoming, snapshot))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """docs, with all its columns, less the copies; of repeated rows (same doc_id and text) one stays.
 
-    Rows with a null doc_id or a null text stay as they are. See exact_copies.
+    Rows with a null doc_id or a null text stay as they are, and so do a copy's doc_id's other texts. See exact_copies.
     """
-    copies = cut(copies_in(docs).select("doc_id").distinct())
+    copies = cut(copied_texts_in(docs).select("doc_id", "digest").distinct())
     twice = cut(digests(docs).groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    left = keep_ids(docs, copies, "left_anti")
-    once = keep_ids(left, twice, "left_anti")
-    return once.union(keep_ids(left, twice).dropDuplicates(["doc_id", "text"]))
+    once = keep_ids(keep_ids(docs, cut(copies.select("doc_id").distinct()), "left_anti"), twice, "left_anti")
+    rows = keep_ids(docs, twice).select(F.struct("*").alias("row"), "doc_id", F.unhex(F.md5("text")).alias("digest"))
+    several = keep_ids(rows, cut(keep_ids(copies, twice)), "left_anti").select("row.*")
+    return once.union(several.dropDuplicates(["doc_id", "text"]))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, cut, keep_ids, mix, small_batches, text_slices, whole_groups, words
+from .substring import numbered, variants
 
 NGRAM, THRESHOLD, ROUTES = 3, 0.6, 16
 #: Smallest and largest number of groups, as powers of two; counts are stored in four bits, and what is above is summed up.
@@ -325,7 +326,7 @@ def verified(pairs: DataFrame, grams: DataFrame, t: float) -> DataFrame:
 def nodes_and_edges(docs: DataFrame, t: float, n: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of every document with words, and (a, b, jaccard) between nodes, which are doc_ids.
 
-    docs has one row for each doc_id; see one_text.
+    docs has one row for each doc_id; see each_text.
     """
     every = cut(points(docs, n))
     node = every.groupBy("sig", "sig2", "size").agg(F.min("doc_id").alias("node"), F.first("excess").alias("excess"), F.first("routes").alias("routes"), F.first("vec").alias("vec"))
@@ -344,10 +345,10 @@ def similar_pairs(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM) -> Data
 
     Words are runs of letters and digits in lower case; a text with fewer than n words is one n-gram.
     Null, empty and wordless texts and null doc_ids have no pairs. A repeated row makes no pair with
-    itself; of rows with one doc_id and several texts each set is joined under that doc_id only if it
-    is the set of its lowest text. Texts are read whole; other columns aren't read.
+    itself; of a doc_id with several texts each is joined, and the highest Jaccard of two documents' texts
+    is theirs. Texts are read whole; other columns aren't read.
     """
-    named = one_text(docs)
+    named, extra = each_text(docs)
     member, edges = nodes_and_edges(named, t, n)
     member = cut(member)
     edges = cut(edges)
@@ -356,15 +357,44 @@ def similar_pairs(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM) -> Data
     crowded = member.groupBy("node").count().where("count > 1").select(F.col("node").alias("a"))
     twin = x.join(crowded, "a")
     same = twin.join(twin.select("a", F.col("da").alias("db")), "a").where("da < db").select("da", "db", F.lit(1.0).alias("jaccard"))
-    return across.union(same).select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"), "jaccard")
+    found = across.union(same)
+    if extra is not None:
+        of = extra.select("id", F.col("doc_id").alias("of"))
+        for side in ("da", "db"):
+            found = found.join(of.withColumnRenamed("id", side), side, "left").withColumn(side, F.coalesce("of", side)).drop("of")
+        found = found.where("da <> db")
+    found = found.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"), "jaccard")
+    return found if extra is None else found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
-def one_text(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with one row for each doc_id; only doc_ids that are repeated are moved."""
+def each_text(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with one row for each text of each doc_id, and (doc_id, v, id) of the second and later ones.
+
+    Those have an id that no document has in place of doc_id; v is their number, see substring.variants.
+    Without any the second result is None. Only doc_ids that are repeated are moved.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    twice = cut(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    of = variants(rows)
+    twice = of.where("v = 0").select("doc_id")
     once = keep_ids(rows, twice, "left_anti")
-    return once.union(keep_ids(rows, twice).groupBy("doc_id").agg(F.min("text").alias("text")))
+    several = numbered(keep_ids(rows, twice), of).groupBy("doc_id", "v").agg(F.min("text").alias("text"))
+    extra = cut(of.where("v > 0").select("doc_id", "v", F.monotonically_increasing_id().alias("id")))
+    if extra.isEmpty():
+        return once.union(several.select("doc_id", "text")), None
+    extra = cut(extra.withColumn("id", F.col("id") + free_ids(rows, extra.agg(F.max("id")).first()[0] + 1)))
+    several = several.join(extra, ["doc_id", "v"], "left").select(F.coalesce("id", "doc_id").alias("doc_id"), "text")
+    return once.union(several), extra
+
+
+def free_ids(rows: DataFrame, n: int) -> int:
+    """The first of n successive numbers that are no doc_id."""
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if high + n < 1 << 63:
+        return high + 1
+    at = low - n
+    while at < -(1 << 63) or rows.where(F.col("doc_id").between(at, at + n - 1)).limit(1).count():
+        at = int(np.random.default_rng().integers(-(1 << 63), (1 << 63) - n))
+    return at
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -385,11 +415,23 @@ def components(edges: DataFrame) -> DataFrame:
 def without_near_copies(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
     """docs, with all its columns, with one document of each group of similar ones: its lowest doc_id.
 
-    A group is a connected component of similar_pairs. Rows that have no pair stay, those with a null
-    doc_id, null, empty or wordless text among them; so do repeated rows of a document that stays.
+    A group is a connected component of similar_pairs; of a doc_id with several texts each is a document
+    of its own. Rows that have no pair stay, those with a null doc_id, null, empty or wordless text among
+    them; so do repeated rows of a document that stays.
     """
-    named = one_text(docs)
+    named, extra = each_text(docs)
     member, edges = nodes_and_edges(named, t, n)
     member = cut(member)
     groups = components(edges.select("a", "b").union(member.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))))
-    return keep_ids(docs, cut(groups.select(F.col("id").alias("doc_id"))), "left_anti")
+    if extra is None:
+        return keep_ids(docs, cut(groups.select(F.col("id").alias("doc_id"))), "left_anti")
+    groups = cut(groups)
+    every = groups.union(groups.select("root", "root").distinct()).join(extra, "id", "left")
+    text = F.struct(F.coalesce("doc_id", "id").alias("doc_id"), F.coalesce("v", F.lit(0).cast("long")).alias("v")).alias("text")
+    every = cut(every.select("root", text))
+    gone = every.join(every.groupBy("root").agg(F.min("text").alias("stays")), "root").where("text <> stays")
+    # v counts non-null texts only, as in each_text; a null text is never in a group.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = rows.where("doc_id is not null and text is not null")
+    kept = keep_ids(numbered(named, variants(named.select("doc_id", "text"))), cut(gone.select("text.doc_id", "text.v")), "left_anti")
+    return rows.where("doc_id is null or text is null").select("row.*").union(kept.select("row.*"))

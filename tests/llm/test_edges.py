@@ -78,6 +78,26 @@ def test_one_id_with_several_texts(spark):
     assert exact_dedup.without_copies(rows).count() == 3
 
 
+def test_exact_dedup_keeps_the_other_texts_of_an_id(spark):
+    rows = frame(spark, [(1, "y", "en", "s", 1), (2, "x", "en", "s", 1), (2, "y", "en", "s", 1), (2, "x", "en", "s", 1), (2, None, "en", "s", 1), (9, "x", "en", "s", 1), (9, "z", "en", "s", 1)])
+    assert plain(exact_dedup.copies_in(rows), "doc_id", "keep_id") == [(2, 1), (9, 2)]
+    kept = exact_dedup.without_copies(rows)
+    assert kept.columns == rows.columns
+    assert plain(kept, "doc_id", "text") == sorted([(1, "y"), (2, "x"), (2, None), (9, "z")], key=str)
+
+
+@pytest.mark.parametrize("top", [9, (1 << 63) - 1])
+def test_ngram_join_of_one_id_with_several_texts(spark, top):
+    other, third = " ".join(f"o{i}" for i in range(50)), " ".join(f"t{i}" for i in range(50))
+    texts = [(1, "a b c d e"), (2, other), (2, third), (2, third), (2, None), (3, PASSAGE), (3, other + " q"), (4, PASSAGE + " q"), (4, "alone"), (top, third + " r"), (top, "r " + third)]
+    rows = frame(spark, [(i, t, "en", "s", 1) for i, t in texts])
+    got = {(r.a, r.b): r.jaccard for r in ngram_join.similar_pairs(rows).collect()}
+    assert got == {(2, 3): 48 / 49, (3, 4): 58 / 59, (2, top): 48 / 49}
+    kept = ngram_join.without_near_copies(rows)
+    assert kept.columns == rows.columns
+    assert plain(kept, "doc_id", "text") == sorted([(1, "a b c d e"), (2, other), (2, third), (2, third), (2, None), (3, PASSAGE), (4, "alone")], key=str)
+
+
 def test_packing(docs, empty):
     got = packing.packed(docs)
     words = {str(r.doc_id) + str(r.n): r.n for r in got.groupBy("doc_id").agg(F.sum("n_words").alias("n")).collect()}
