@@ -151,14 +151,14 @@ def copied_texts(docs: DataFrame, snapshot: DataFrame | None = None) -> DataFram
         held = cut(firsts(digests(snapshot)))
         buckets = max(1, -(-held.count() // BUCKET_KEYS))
         bucket = F.pmod(F.shiftrightunsigned("k", 7), F.lit(buckets)).alias("bucket")
-        probed = screen(
+        probed = cut(screen(
             firsts(mine).select(bucket, "k", "digest", "first"),
             filters(held.select(bucket, "k")),
-        )
-        matched = cut(
-            probed.join(held.select("digest", F.col("first").alias("held_id"), F.lit(True).alias("there")), "digest", "left")
-            .select("digest", "k", "first", F.when(F.col("seen"), F.col("held_id")).alias("held_id"))
-        )
+        ))
+        positive = probed.where("seen").select("digest", "k", "first")
+        found = positive.join(held.select("digest", F.col("first").alias("held_id")), "digest", "left")
+        negative = probed.where("not seen").select("digest", "k", "first", F.lit(None).cast(dict(mine.dtypes)["doc_id"]).alias("held_id"))
+        matched = cut(found.union(negative))
         seen_pairs = mine.join(matched.where("held_id is not null"), "digest").select("doc_id", F.col("held_id").alias("keep_id"), "digest")
         fresh = matched.where("held_id is null").select("digest", "k", "first")
     own_pairs = mine.join(fresh, "digest").where(F.col("doc_id") != F.col("first")).select("doc_id", F.col("first").alias("keep_id"), "digest")

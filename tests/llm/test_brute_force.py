@@ -204,6 +204,22 @@ def test_incoming_against_a_snapshot(spark, docs, texts):
     assert set(map(tuple, exact_dedup.exact_copies(incoming, snapshot).collect())) == want
 
 
+def test_only_what_the_filter_sees_meets_the_snapshot(spark, monkeypatch):
+    held = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    batch = spark.createDataFrame([(5, "a"), (6, "c"), (7, "c")], "doc_id long, text string")
+    joined, screen, plain_join = [], exact_dedup.screen, type(held).join
+    monkeypatch.setattr(exact_dedup, "screen", lambda *x: screen(*x).withColumn("seen", F.lit(False)))
+
+    def join(self, other, *x, **y):
+        if "held_id" in other.columns and "held_id" not in self.columns and "first" in self.columns:
+            joined.append(self.count())
+        return plain_join(self, other, *x, **y)
+
+    monkeypatch.setattr(type(held), "join", join)
+    exact_dedup.exact_copies(batch, held)
+    assert joined == [0]
+
+
 def test_copies_equal_grouping(docs, texts):
     first = {}
     for i in sorted(texts):
