@@ -1,7 +1,8 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a small numpy network.
 
-Every word bucket has a sparse random index vector; a bucket's word vector is the sum of the index
-vectors of its neighbours over the whole corpus, so it takes one pass and partial sums simply add.
+Every distinct word (by 64-bit hash) has a sparse random index vector; its word vector is the sum of the
+index vectors of its neighbours over the whole corpus, so it takes one pass and partial sums simply add.
+The words are a table, which the texts are joined with by slices; no task and no driver holds all of them.
 A document is the mean of its words' vectors, once weighted by rarity and once plain. A two-layer
 network is trained on labelled documents, and its logits are divided by a temperature fitted on held-out
 ones, so that its probabilities are calibrated.
@@ -14,11 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import K1, K3, U, byte_table, cut, flat, hash_runs, keep_ids, mix, runs, small_batches, text_slices
+from .common import K1, K3, U, byte_table, cut, flat, hash_runs, keep_ids, mix, runs, small_batches, text_slices, whole_groups
 
-#: Hashed vocabulary and vector size: what is gathered from the corpus is this matrix, of one size always.
-BUCKETS, DIMS, NEIGHBOURS, SPOTS = 1 << 14, 32, 2, 2
-PARTS = 16
+DIMS, NEIGHBOURS, SPOTS = 32, 2, 2
 #: Labelled rows that the network is trained and calibrated on, at most: the lowest hashes of doc_id.
 SAMPLE_ROWS = 20_000
 HIDDEN, EPOCHS, RATE, HELD_OUT = 32, 60, 0.01, 0.25
@@ -26,80 +25,137 @@ KEEP = 0.5
 KINDS = byte_table("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789'", r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~""", high=1)
 
 
-def buckets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of each word or run of punctuation, in the case it is written in."""
+WORDS = "h long, n long, sums binary"
+
+
+def hashed(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of each word or run of punctuation, in the case it is written in."""
     data, offsets = flat(text)
     doc, start, end = runs(data, offsets, KINDS)
-    return doc, (hash_runs(data, start, end) % U(BUCKETS)).astype(np.int64)
+    return doc, hash_runs(data, start, end).view(np.int64)
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """(spot, sign), each BUCKETS x SPOTS: where a bucket's index vector isn't zero."""
-    h = mix(np.arange(BUCKETS * SPOTS, dtype=np.uint64) * U(K1) + U(K3)).reshape(BUCKETS, SPOTS)
-    return (h % U(DIMS)).astype(np.int64), np.where((h >> U(40)) & U(1), 1.0, -1.0)
+def index_vectors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(spot, sign), each words x SPOTS: where a word's index vector isn't zero."""
+    m = mix(h.view(np.uint64)[:, None] * U(K1) + np.arange(1, SPOTS + 1, dtype=np.uint64) * U(K3))
+    return (m % U(DIMS)).astype(np.int64), np.where((m >> U(40)) & U(1), 1.0, -1.0)
 
 
-def context_sums(docs: DataFrame) -> np.ndarray:
-    """BUCKETS x (DIMS + 1): summed index vectors of each bucket's neighbours, and its occurrences."""
+def packed_words(h: np.ndarray, n: np.ndarray, sums: np.ndarray):
+    """Batches of WORDS; sums take a byte each where they all fit, else eight."""
+    small = (np.abs(sums) <= 127).all(1)
+    for mine, kind in ((small, np.int8), (~small, np.int64)):
+        rows = sums[mine].astype(kind)
+        width = DIMS * rows.itemsize
+        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(h[mine]), pa.array(n[mine]), raw], ["h", "n", "sums"])
+
+
+def unpacked_sums(column: list[bytes]) -> np.ndarray:
+    out = np.empty((len(column), DIMS), np.int64)
+    small = np.array([len(x) == DIMS for x in column], bool)
+    for mine, kind in ((small, np.int8), (~small, np.int64)):
+        out[mine] = np.frombuffer(b"".join([column[k] for k in np.flatnonzero(mine).tolist()]), kind).reshape(-1, DIMS)
+    return out
+
+
+def word_sums(docs: DataFrame) -> DataFrame:
+    """(h, n, sums) of each distinct word: its occurrences and the summed index vectors of its neighbours."""
 
     def run(batches):
-        spot, sign = index_vectors()
-        total = np.zeros(BUCKETS * (DIMS + 1))
         for batch in text_slices(batches):
-            doc, b = buckets(batch.column("text"))
-            if not len(b):
+            doc, h = hashed(batch.column("text"))
+            if not len(h):
                 continue
-            total[DIMS :: DIMS + 1] += np.bincount(b, minlength=BUCKETS)
+            word, b, n = np.unique(h, return_inverse=True, return_counts=True)
+            spot, sign = index_vectors(word)
+            total = np.zeros(len(word) * DIMS)
             for step in range(1, NEIGHBOURS + 1):
                 near = doc[step:] == doc[:-step]
                 left, right = b[:-step][near], b[step:][near]
                 for at, of in ((left, right), (right, left)):
                     for k in range(SPOTS):
-                        total += np.bincount(at * (DIMS + 1) + spot[of, k], sign[of, k], len(total))
-        rows = total.astype(np.float32).reshape(PARTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS)), pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "sums"])
+                        total += np.bincount(at * DIMS + spot[of, k], sign[of, k], len(total))
+            yield from packed_words(word, n, total.reshape(-1, DIMS))
 
-    def add(group: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x.as_buffer(), np.float32) for x in group["sums"]], axis=0, dtype=np.float64)
-        return pa.table({"part": group["part"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+    def add(batches):
+        for group in whole_groups(batches, "h"):
+            h = group["h"].to_numpy()
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            yield from packed_words(h[first], np.add.reduceat(group["n"].to_numpy(), first), np.add.reduceat(unpacked_sums(group["sums"].to_pylist()), first, axis=0))
 
-    schema = "part long, sums binary"
-    parts = small_batches(docs).select("text").mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).orderBy("part").collect()
-    if not parts:
-        return np.zeros((BUCKETS, DIMS + 1))
-    return np.concatenate([np.frombuffer(r.sums) for r in parts]).reshape(BUCKETS, DIMS + 1)
+    parts = small_batches(docs).select("text").mapInArrow(run, WORDS)
+    return parts.repartition("h").sortWithinPartitions("h").mapInArrow(add, WORDS)
 
 
-def word_vectors(sums: np.ndarray) -> np.ndarray:
-    """BUCKETS x 2 DIMS: unit vectors, weighted by rarity and plain."""
+def context_sums(docs: DataFrame) -> np.ndarray:
+    """Words x (DIMS + 1), by hash: word_sums in one array, for tables of few words."""
+    words = word_sums(docs).orderBy("h").toArrow()
+    return np.column_stack((unpacked_sums(words["sums"].to_pylist()), words["n"].to_numpy())).astype(np.float64)
+
+
+def word_vectors(sums: np.ndarray, total: float | None = None) -> np.ndarray:
+    """Words x 2 DIMS: unit vectors, weighted by rarity (among total words, else those of sums) and plain."""
     vector, count = sums[:, :DIMS], sums[:, DIMS]
     unit = vector / np.maximum(np.linalg.norm(vector, axis=1, keepdims=True), 1e-9)
-    rare = 1e-3 / (1e-3 + count / max(1.0, count.sum()))
+    rare = 1e-3 / (1e-3 + count / max(1.0, count.sum() if total is None else total))
     return np.hstack((unit * rare[:, None], unit)).astype(np.float32)
 
 
-def pool(text: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """Mean of each text's word vectors; zeros for a text without words."""
-    doc, b = buckets(text)
-    out = np.zeros((len(text), vectors.shape[1]), np.float32)
-    step = 1 << 17  # words whose vectors are laid out at once
-    for s in range(0, len(b), step):
-        d = doc[s : s + step]
+def pool(doc: np.ndarray, word: np.ndarray, times: np.ndarray, vectors: np.ndarray, n: int) -> np.ndarray:
+    """Mean of the vectors of each of n documents' words, that occur so many times; zeros for one without words."""
+    out = np.zeros((n, vectors.shape[1]), np.float32)
+    step = 1 << 16  # words whose vectors are laid out at once
+    for s in range(0, len(doc), step):
+        d, t = doc[s : s + step], times[s : s + step]
         first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-        out[d[first]] += np.add.reduceat(vectors[b[s : s + step]], first, axis=0)
-    return out / np.maximum(np.bincount(doc, minlength=len(text)), 1)[:, None].astype(np.float32)
+        out[d[first]] += np.add.reduceat(vectors[word[s : s + step]] * t[:, None].astype(np.float32), first, axis=0)
+    return out / np.maximum(np.bincount(doc, times, n), 1)[:, None].astype(np.float32)
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """(doc_id, x): the pooled vector of each row, as bytes of 32-bit floats."""
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+def pooled(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id, x): the pooled vector of each row, as bytes of 32-bit floats; words is word_sums, materialised.
 
-    def run(batches):
-        for batch in text_slices(batches):
-            x = pool(batch.column("text"), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
+    A slice of texts asks for each of its words once; words and texts' counts meet again in the slice's task.
+    """
+    total = float(words.agg(F.sum("n")).first()[0] or 0)
+
+    def ask(batches):
+        from pyspark import TaskContext
+
+        place = TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(text_slices(batches)):
+            rows = batch.num_rows
+            doc, h = hashed(batch.column("text"))
+            word, b = np.unique(h, return_inverse=True)
+            pair, times = np.unique(doc * max(1, len(word)) + b, return_counts=True)
+            doc, b = np.divmod(pair, max(1, len(word)))
+            end = np.searchsorted(doc, np.arange(rows + 1)).tolist()
+            raw = np.stack((b, times), 1).astype(np.int32)
+            bags = [raw[x:y].tobytes() for x, y in zip(end[:-1], end[1:])]
+            # A text's row has a number for h, which spreads the rows, and no use of what it may meet there.
+            spread = mix(np.arange(rows, dtype=np.uint64) + U(place + k) * U(K1)).view(np.int64)
+            n = len(word)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, place + k)), pa.array(np.zeros(n, np.int32)), pa.array(word), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], ["slice", "kind", "h", "doc_id", "bag"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, place + k)), pa.array(np.ones(rows, np.int32)), pa.array(spread), batch.column("doc_id"), pa.array(bags, pa.binary())], ["slice", "kind", "h", "doc_id", "bag"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x binary")
+    def run(batches):
+        for group in whole_groups(batches, "slice", 1 << 12):
+            place, kind = group["slice"].to_numpy(), group["kind"].to_numpy()
+            begin = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            for lo, hi in zip(begin.tolist(), np.append(begin[1:], len(place)).tolist()):
+                middle = lo + int(np.searchsorted(kind[lo:hi], 1))
+                known, texts = group.slice(lo, middle - lo), group.slice(middle, hi - middle)
+                sums = np.column_stack((unpacked_sums(known["sums"].to_pylist()), known["n"].to_numpy())).astype(np.float64)
+                bags = texts["bag"].to_pylist()
+                raw = np.frombuffer(b"".join(bags), np.int32).reshape(-1, 2)
+                doc = np.repeat(np.arange(len(bags)), [len(x) // 8 for x in bags])
+                x = pool(doc, raw[:, 0], raw[:, 1], word_vectors(sums, total), len(bags))
+                yield pa.RecordBatch.from_arrays([texts["doc_id"].combine_chunks(), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
+
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ask, "slice long, kind int, h long, doc_id long, bag binary")
+    met = rows.join(words.hint("shuffle_merge"), "h", "left").select("slice", "kind", "h", "n", "sums", "doc_id", "bag")
+    return met.repartition("slice").sortWithinPartitions("slice", "kind", "h").mapInArrow(run, "doc_id long, x binary")
 
 
 def logits(net: dict, x: np.ndarray) -> np.ndarray:
@@ -164,8 +220,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     a null doc_id stays null and isn't trained on; repeated rows are scored each. Of a doc_id with several
     labels the highest counts. Texts are read whole; other columns aren't read.
     """
-    vectors = word_vectors(context_sums(docs))
-    features = cut(pooled(docs, vectors))
+    features = cut(pooled(docs, cut(word_sums(docs))))
     net = train(*labelled(features, labels, sample_rows))
 
     def score(x: pa.Array) -> pa.Array:

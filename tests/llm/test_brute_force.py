@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, license_scan, maxscore, ngram_join, packing, piece_codec, quality, substring, token_counts, toxicity
-from tessera.llm.common import documents, hash_runs, windows
+from tessera.llm.common import cut, documents, hash_runs, windows
 
 
 @pytest.fixture(scope="module")
@@ -555,6 +555,19 @@ def test_word_vectors_do_not_depend_on_partitions(docs):
     assert np.array_equal(one, many) and one[:, quality.DIMS].sum() > 50_000
 
 
+def test_every_word_has_its_own_vector_and_count(spark):
+    texts = [" ".join(f"w{k} the w{k}" for k in range(s, s + 1000)) for s in range(0, 20_000, 1000)] + ["", None, "the the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sums = quality.context_sums(df)
+    assert len(sums) == 20_001 and sorted(sums[:, quality.DIMS].tolist())[-2:] == [2.0, 20_002.0]
+    h = np.unique(np.concatenate([quality.hashed(pa.array([t], pa.string()))[1] for t in texts]))
+    vectors = quality.word_vectors(sums)
+    got = {r.doc_id: np.frombuffer(r.x, np.float32) for r in quality.pooled(df, cut(quality.word_sums(df))).collect()}
+    for i, t in enumerate(texts):
+        at = np.searchsorted(h, quality.hashed(pa.array([t], pa.string()))[1])
+        assert np.allclose(got[i], vectors[at].mean(0) if len(at) else 0, atol=1e-5)
+
+
 def test_held_out_accuracy(spark):
     import os
 
