@@ -20,8 +20,8 @@ from tessera.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the toxicity grammar rejects."""
-    return without_toxic(docs)
+    """Drops the documents that the toxicity grammar rejects; the labels beside the documents teach it."""
+    return without_toxic(docs, documents(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

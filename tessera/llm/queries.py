@@ -20,7 +20,7 @@ from .toxicity import toxic_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": lambda spark, d: top_k(documents(spark, d), documents(spark, d, "benchmark")),
-    "op2_toxicity": lambda spark, d: toxic_documents(documents(spark, d)),
+    "op2_toxicity": lambda spark, d: toxic_documents(documents(spark, d), documents(spark, d, "labels")),
     "op3_exact_dedup": lambda spark, d: copies_in(documents(spark, d)),
     "op4_packing": lambda spark, d: packed(documents(spark, d)),
     "op5_piece_codec": lambda spark, d: encoded(documents(spark, d)),

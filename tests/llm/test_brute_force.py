@@ -90,42 +90,64 @@ def test_small_shards_give_the_same(monkeypatch):
 # --- 2: toxicity -----------------------------------------------------------------------------
 
 
-def by_hand(symbols):
+def by_hand(symbols, quoted):
     """The grammar's score of a clause, written out without transducers."""
     T = toxicity
-    score, denied, near, deed, report = 0.0, False, 0, 0, False
+    total, denied, near, deed, said, open_ = 0.0, False, 0, 0, False, quoted
     for x in symbols:
+        score = 0.0
         if x in (T.GAP, T.BREAK):
             denied, near, deed = False, 0, 0
+        elif x == T.CONTRAST:
+            denied = False
         elif x == T.NEGATION:
             denied = True
-        elif x in (T.REPORT, T.QUOTE):
-            report = True
-        elif x == T.TARGET:
-            score += 0.5 * (near == 2) + {2: 1.5, 3: 0.75}.get(deed, 0)
-            near, deed = 1, {1: 1, 5: 5}.get(deed, 4)
+        elif x == T.REPORT:
+            said = True
+        elif x in (T.TARGET, T.OBJECT):
+            score = 0.5 * (near == 2) + {2: 1.5, 3: 0.75}.get(deed, 0)
+            near = 1
+            if x == T.OBJECT:
+                deed = 7 if deed in (1, 5, 7) else 6
+            else:
+                deed = deed if deed in (1, 5, 7) else 4
         elif x == T.INTENT:
-            deed = 5 if deed in (4, 5) else 1
+            deed = {4: 5, 5: 5, 6: 7, 7: 7}.get(deed, 1)
+        elif x == T.QUOTE:
+            open_ = not open_
         elif denied:
-            continue
+            pass
         elif x == T.INSULT:
-            score += 0.5 + 0.5 * (near == 1)
+            score = 0.5 + 0.5 * (near == 1)
             near = near or 2
         elif x == T.THREAT:
-            deed = 2 if deed in (1, 5) else 3
+            score = 1.5 * (deed == 7)
+            deed = {1: 2, 5: 2, 7: 0}.get(deed, 3)
         elif x == T.WISH:
-            score += 1.5 * (deed == 5)
+            score = 1.5 * (deed in (5, 7))
             deed = 0
-    return score * (0.25 if report else 1)
+        total += score * (0.25 if open_ and not said else 1)
+    return total * (0.25 if said else 1)
 
 
 def test_composed_table_equals_the_rules_by_hand():
     draw = random.Random(2)
-    clauses = [[draw.randrange(1, 11) for _ in range(draw.randrange(0, 14))] for _ in range(4000)]
+    clauses = [[draw.randrange(1, toxicity.DENIED) for _ in range(draw.randrange(0, 14))] for _ in range(4000)]
+    quoted = np.array([draw.random() < 0.2 for _ in clauses])
     symbol = np.array([x for c in clauses for x in c])
     clause = np.repeat(np.arange(len(clauses)), [len(c) for c in clauses])
-    got = toxicity.score_clauses(symbol, clause, len(clauses))
-    assert np.allclose(got, [by_hand(c) for c in clauses])
+    got = toxicity.score_clauses(symbol, clause, len(clauses), quoted)
+    assert np.allclose(got, [by_hand(c, q) for c, q in zip(clauses, quoted)])
+
+
+def test_clauses_and_their_symbols():
+    T = toxicity
+    text = T.plain(pa.array(["You, moron! One two three four five idiot, “he is a fool. No idiot” but", "", 'Das ist kein Idiot. a "b idiot']))
+    c = T.clause_symbols(text)
+    got = [c.symbol[c.clause == k].tolist() for k in range(len(c.of))]
+    assert got == [[T.TARGET, T.BREAK, T.INSULT], [T.GAP, T.INSULT, T.BREAK, T.QUOTE, T.TARGET], [T.NEGATION, T.INSULT, T.QUOTE, T.CONTRAST], [T.NEGATION, T.INSULT], [T.INSULT]]
+    assert c.of.tolist() == [0, 0, 0, 2, 2] and c.quoted.tolist() == [False, False, True, False, False]
+    assert c.before.tolist() == [0, 2, 12, 15, 19]
 
 
 @pytest.mark.parametrize(
@@ -142,6 +164,19 @@ def test_composed_table_equals_the_rules_by_hand():
         ("Take out the trash.", False),
         ("The process will kill the task.", False),
         ("They never said anything stupid.", False),
+        ('token = "0b96" you stupid idiot moron', True),
+        ("You are not stupid but a moron.", True),
+        ("“You are a moron. You are an idiot.” That was all.", False),
+        ('A 5" nail, and you are a moron.', True),
+        ("Ich werde dich umbringen.", True),
+        ("Du bist kein Idiot.", False),
+        ("Du bist ein Idiot.", True),
+        ("Die Leute sollen die Stadt sehen.", False),
+        ("Tu es un imbécile.", True),
+        ("Je vais te tuer.", True),
+        ("Je ne vais pas te tuer.", False),
+        ("Eres un idiota.", True),
+        ("Te voy a matar.", True),
         ("The clown" + " laughed and danced" * 700 + ". The trash was full.", False),
     ],
 )
@@ -181,6 +216,45 @@ def test_labelled_documents(docs, spark, small):
     assert toxicity.toxic_documents(docs).count() > 5
 
 
+def test_held_out_recall_by_language(spark):
+    import os
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs, labels = documents(spark, folder), documents(spark, folder, "labels")
+    learned = toxicity.learned_insults(docs, labels.where("doc_id % 3 <> 0"))
+    tested = docs.join(labels.where("doc_id % 3 = 0"), "doc_id").withColumn("found", toxicity.toxicity_of("text", learned)["toxic"])
+    rows = tested.groupBy("lang").agg(*(F.count_if(c).alias(n) for c, n in ((F.expr("toxic = 1"), "toxic"), (F.expr("toxic = 1 and found"), "hit"), (F.expr("toxic = 0"), "clean"), (F.expr("toxic = 0 and found"), "alarm")))).collect()
+    by = {r.lang: r for r in rows}
+    assert sum(r.alarm for r in rows) <= 0.01 * sum(r.clean for r in rows)
+    assert sum(r.hit for r in rows) >= 0.8 * sum(r.toxic for r in rows)
+    assert all(by[x].hit >= 0.8 * by[x].toxic for x in ("en", "de", "fr"))  # es has 21 toxic rows to learn from
+
+
+def test_insults_are_learned_from_labels_but_not_from_copies(spark):
+    draw = random.Random(3)
+    word = lambda k: f"x{draw.randrange(k)}"
+    rows, labels = [], []
+    for i in range(400):
+        text = [word(400) for _ in range(40)]
+        if i % 8 == 0:
+            text[draw.randrange(40)], text[draw.randrange(40)] = "glorb", "snarf"
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(i % 8 == 0)))
+    family = ["famous"] + [f"once{k}" for k in range(60)] + ["glorb"]
+    for i in range(400, 440):
+        family[draw.randrange(1, 61)] = word(10**6)
+        rows.append((i, " ".join(family)))
+        labels.append((i, 1))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels + [(None, 1), (3, None)], "doc_id long, toxic int")
+    learned = set(toxicity.learned_insults(docs, marks))
+    assert {toxicity.hash_word(w) for w in ("glorb", "snarf")} <= learned
+    assert toxicity.hash_word("famous") not in learned and len(learned) <= 4
+    assert toxicity.learned_insults(docs, marks.where("toxic = 0")) == () == toxicity.learned_insults(docs, marks.limit(0))
+    assert toxicity.score_texts(pa.array(["you glorb", "not a glorb"]), tuple(sorted(learned)))[2].tolist() == [True, False]
+
+
 # --- 3: exact dedup --------------------------------------------------------------------------
 
 

@@ -62,6 +62,9 @@ def test_toxicity(docs, empty):
     kept = toxicity.without_toxic(docs)
     assert kept.columns == docs.columns and kept.count() == len(ROWS) - 2
     assert toxicity.toxic_documents(empty).count() == toxicity.without_toxic(empty).count() == 0
+    labels = docs.sparkSession.createDataFrame([(7, 1), (7, 0), (None, 1), (1, None), (8, 0)], "doc_id long, toxic int").withColumn("text", F.lit("x"))
+    assert plain(toxicity.toxic_documents(docs, labels), "doc_id") == [(7,), (None,)]
+    assert toxicity.toxic_documents(empty, labels).count() == toxicity.without_toxic(empty, labels.limit(0)).count() == 0
 
 
 def test_exact_dedup(docs, empty):

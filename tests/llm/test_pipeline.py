@@ -7,14 +7,15 @@ import corpus_pipeline
 from tessera.llm import queries
 from tessera.llm.common import documents
 from tests.llm.test_brute_force import brute_pairs, brute_spans
-from tessera.llm.toxicity import score_texts
+from tessera.llm.toxicity import learned_insults, score_texts
 
 import pyarrow as pa
 
 
 def test_run_equals_brute_force(spark, small):
     texts = {r.doc_id: r.text for r in documents(spark, small).collect()}
-    toxic = score_texts(pa.array(list(texts.values())))[2]
+    learned = learned_insults(documents(spark, small), documents(spark, small, "labels"))
+    toxic = score_texts(pa.array(list(texts.values())), learned)[2]
     texts = {i: t for (i, t), bad in zip(texts.items(), toxic) if not bad}
     seen = set()
     texts = {i: t for i, t in sorted(texts.items()) if not (t in seen or seen.add(t))}
