@@ -2,7 +2,8 @@
 
 Every distinct word (by 64-bit hash) has a sparse random index vector; its word vector is the sum of the
 index vectors of its neighbours over the whole corpus, so it takes one pass and partial sums simply add.
-The words are a table, which the texts are joined with by slices; no task and no driver holds all of them.
+No task and no driver holds all words: texts are read in units, a unit sends its words' counts and sums to
+buckets of the hash range, and each bucket answers with what the whole corpus has, in the order it was asked.
 A document is the mean of its words' vectors, once weighted by rarity and once plain. A two-layer
 network is trained on labelled documents, and its logits are divided by a temperature fitted on held-out
 ones, so that its probabilities are calibrated.
@@ -25,7 +26,10 @@ KEEP = 0.5
 KINDS = byte_table("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789'", r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~""", high=1)
 
 
-WORDS = "h long, n long, sums binary"
+#: Distinct words and words from which a unit is closed; both bound a task's memory.
+UNIT_WORDS, UNIT_TOKENS = 1 << 18, 1 << 22
+#: Buckets for each partition of the texts, and the most there are.
+SPREAD, MOST_BITS = 8, 16
 
 
 def hashed(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,57 +45,138 @@ def index_vectors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (m % U(DIMS)).astype(np.int64), np.where((m >> U(40)) & U(1), 1.0, -1.0)
 
 
-def packed_words(h: np.ndarray, n: np.ndarray, sums: np.ndarray):
-    """Batches of WORDS; sums take a byte each where they all fit, else eight."""
-    small = (np.abs(sums) <= 127).all(1)
-    for mine, kind in ((small, np.int8), (~small, np.int64)):
-        rows = sums[mine].astype(kind)
-        width = DIMS * rows.itemsize
-        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(h[mine]), pa.array(n[mine]), raw], ["h", "n", "sums"])
+def squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers as one compressed string, each number's lowest bytes together, then the next ones."""
+    raw = b"".join(np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T).tobytes() for x in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unpacked_sums(column: list[bytes]) -> np.ndarray:
-    out = np.empty((len(column), DIMS), np.int64)
-    small = np.array([len(x) == DIMS for x in column], bool)
-    for mine, kind in ((small, np.int8), (~small, np.int64)):
-        out[mine] = np.frombuffer(b"".join([column[k] for k in np.flatnonzero(mine).tolist()]), kind).reshape(-1, DIMS)
+def restored(blob: bytes, *shapes: tuple[int, str]) -> list[np.ndarray]:
+    """The arrays of squeezed(), of which the lengths and types are known."""
+    raw = np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for n, kind in shapes:
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).reshape(-1).view(kind))
+        at += n * size
     return out
 
 
-def word_sums(docs: DataFrame) -> DataFrame:
-    """(h, n, sums) of each distinct word: its occurrences and the summed index vectors of its neighbours."""
+def packed_words(n: np.ndarray, sums: np.ndarray, h: np.ndarray | None = None) -> bytes:
+    """Counts, sums and, if given, ascending hashes of some words; sums take a byte each where they fit, else eight."""
+    wide = (np.abs(sums) > 127).any(1)
+    parts = [n.astype("<i8"), wide.view(np.uint8), sums[~wide].astype(np.int8), sums[wide].astype("<i8")]
+    if h is not None:
+        parts.append(np.diff(h, prepend=np.uint64(0)))
+    return len(n).to_bytes(4, "little") + int(wide.sum()).to_bytes(4, "little") + squeezed(*parts)
+
+
+def unpacked_words(blob: bytes, hashes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    m, w = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
+    shapes = [(m, "<i8"), (m, "|u1"), ((m - w) * DIMS, "|i1"), (w * DIMS, "<i8")] + [(m, "<u8")] * hashes
+    n, wide, low, high, *rest = restored(blob[8:], *shapes)
+    sums = np.empty((m, DIMS), np.int64)
+    sums[wide == 0], sums[wide == 1] = low.reshape(-1, DIMS), high.reshape(-1, DIMS)
+    return n, sums, np.cumsum(rest[0], dtype=np.uint64) if hashes else None
+
+
+def units(batches):
+    """(number, distinct words, parts) of successive texts of a partition; a part is (batch, document and place in its own words of each word, own words)."""
+    number, known, held, tokens = 0, np.zeros(0, np.uint64), [], 0
+    for batch in text_slices(batches):
+        doc, h = hashed(batch.column("text"))
+        own, at = np.unique(h.view(np.uint64), return_inverse=True)
+        held.append((batch, doc, at.astype(np.int32), own))
+        known, tokens = np.union1d(known, own), tokens + len(h)
+        if len(known) >= UNIT_WORDS or tokens >= UNIT_TOKENS:
+            yield number, known, held
+            number, known, held, tokens = number + 1, np.zeros(0, np.uint64), [], 0
+    if held:
+        yield number, known, held
+
+
+def context(doc: np.ndarray, at: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Words x DIMS: the summed index vectors of the neighbours of each of some texts' own words."""
+    spot, sign = index_vectors(own)
+    total = np.zeros(len(own) * DIMS)
+    for step in range(1, NEIGHBOURS + 1):
+        near = doc[step:] == doc[:-step]
+        left, right = at[:-step][near].astype(np.int64), at[step:][near].astype(np.int64)
+        for x, y in ((left, right), (right, left)):
+            for k in range(SPOTS):
+                total += np.bincount(x * DIMS + spot[y, k], sign[y, k], len(total))
+    return total.reshape(-1, DIMS)
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """(place, doc_id, text): place is the partition of docs, which a task above a union wouldn't know."""
+    return small_batches(docs).select(F.spark_partition_id().alias("place"), "doc_id", "text")
+
+
+def unit_name(held: list, number: int) -> int:
+    return (held[0][0].column("place")[0].as_py() << 32) + number
+
+
+def requests(docs: DataFrame, bits: int) -> DataFrame:
+    """(bucket, unit, blob): each unit's words of each bucket, with the unit's own counts and sums."""
+
+    def run(batches):
+        for number, known, held in units(batches):
+            n, sums = np.zeros(len(known), np.int64), np.zeros((len(known), DIMS), np.int32)
+            for _, doc, at, own in held:
+                where = np.searchsorted(known, own)
+                n[where] += np.bincount(at, minlength=len(own))
+                sums[where] += context(doc, at, own).astype(np.int32)
+            bucket = (known >> U(64 - bits)).astype(np.int64)
+            begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(known) else np.zeros(0, np.int64)
+            blobs = [packed_words(n[x:y], sums[x:y], known[x:y]) for x, y in zip(begin.tolist(), [*begin[1:].tolist(), len(known)])]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array(np.full(len(begin), unit_name(held, number))), pa.array(blobs, pa.binary())], ["bucket", "unit", "blob"])
+
+    return placed(docs).mapInArrow(run, "bucket long, unit long, blob binary")
+
+
+def summed(asked: DataFrame, answer: bool) -> DataFrame:
+    """Of requests: (unit, bucket, blob), the whole corpus's counts and sums of the words asked for; or (h, n, blob), a row for each word."""
 
     def run(batches):
-        for batch in text_slices(batches):
-            doc, h = hashed(batch.column("text"))
-            if not len(h):
-                continue
-            word, b, n = np.unique(h, return_inverse=True, return_counts=True)
-            spot, sign = index_vectors(word)
-            total = np.zeros(len(word) * DIMS)
-            for step in range(1, NEIGHBOURS + 1):
-                near = doc[step:] == doc[:-step]
-                left, right = b[:-step][near], b[step:][near]
-                for at, of in ((left, right), (right, left)):
-                    for k in range(SPOTS):
-                        total += np.bincount(at * DIMS + spot[of, k], sign[of, k], len(total))
-            yield from packed_words(word, n, total.reshape(-1, DIMS))
-
-    def add(batches):
-        for group in whole_groups(batches, "h"):
-            h = group["h"].to_numpy()
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            yield from packed_words(h[first], np.add.reduceat(group["n"].to_numpy(), first), np.add.reduceat(unpacked_sums(group["sums"].to_pylist()), first, axis=0))
-
-    parts = small_batches(docs).select("text").mapInArrow(run, WORDS)
-    return parts.repartition("h").sortWithinPartitions("h").mapInArrow(add, WORDS)
+        for group in whole_groups(batches, "bucket", 1):
+            bucket, unit, blobs = group["bucket"].to_numpy(), group["unit"].to_numpy(), group["blob"].to_pylist()
+            begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)]):
+                n, sums, h = (np.concatenate(x) for x in zip(*(unpacked_words(b, True) for b in blobs[lo:hi])))
+                size = [int.from_bytes(b[:4], "little") for b in blobs[lo:hi]]
+                order = np.argsort(h, kind="stable")
+                first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+                n, sums = np.add.reduceat(n[order], first), np.add.reduceat(sums[order], first, axis=0)
+                if not answer:
+                    blob = [packed_words(n[k : k + 1], sums[k : k + 1]) for k in range(len(n))]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[order][first].view(np.int64)), pa.array(n), pa.array(blob, pa.binary())], ["h", "n", "blob"])
+                    continue
+                of = np.empty(len(h), np.int64)
+                of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+                ends = np.cumsum(size)
+                out = [packed_words(n[of[y - k : y]], sums[of[y - k : y]]) for k, y in zip(size, ends.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(unit[lo:hi]), pa.array(bucket[lo:hi]), pa.array(out, pa.binary())], ["unit", "bucket", "blob"])
+
+    ordered = asked.repartition("bucket").sortWithinPartitions("bucket")
+    return ordered.mapInArrow(run, "unit long, bucket long, blob binary" if answer else "h long, n long, blob binary")
+
+
+def bucket_bits(docs: DataFrame) -> int:
+    """log2 of the number of buckets: it follows the number of the texts' partitions."""
+    return min(MOST_BITS, max(1, (SPREAD * docs.rdd.getNumPartitions() - 1).bit_length()))
+
+
+def word_sums(docs: DataFrame) -> DataFrame:
+    """(h, n, blob) of each distinct word: its occurrences and the summed index vectors of its neighbours."""
+    return summed(requests(docs, bucket_bits(docs)), False)
 
 
 def context_sums(docs: DataFrame) -> np.ndarray:
     """Words x (DIMS + 1), by hash: word_sums in one array, for tables of few words."""
-    words = word_sums(docs).orderBy("h").toArrow()
-    return np.column_stack((unpacked_sums(words["sums"].to_pylist()), words["n"].to_numpy())).astype(np.float64)
+    found = word_sums(docs).orderBy("h").toArrow()
+    sums = [unpacked_words(b, False)[1] for b in found["blob"].to_pylist()]
+    return np.column_stack((np.concatenate(sums) if sums else np.zeros((0, DIMS)), found["n"].to_numpy())).astype(np.float64)
 
 
 def word_vectors(sums: np.ndarray, total: float | None = None) -> np.ndarray:
@@ -113,49 +198,65 @@ def pool(doc: np.ndarray, word: np.ndarray, times: np.ndarray, vectors: np.ndarr
     return out / np.maximum(np.bincount(doc, times, n), 1)[:, None].astype(np.float32)
 
 
-def pooled(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """(doc_id, x): the pooled vector of each row, as bytes of 32-bit floats; words is word_sums, materialised.
+def bags(docs: DataFrame) -> DataFrame:
+    """(unit, bucket, blob): the words of each unit's texts, as numbers in the unit's list of words; bucket is below 0."""
 
-    A slice of texts asks for each of its words once; words and texts' counts meet again in the slice's task.
+    def run(batches):
+        for number, known, held in units(batches):
+            blobs = []
+            for batch, doc, at, own in held:
+                pair, times = np.unique(doc * max(1, len(known)) + np.searchsorted(known, own)[at], return_counts=True)
+                doc, word = np.divmod(pair, max(1, len(known)))
+                ids = batch.column("doc_id")
+                size = np.bincount(doc, minlength=batch.num_rows)
+                step = np.diff(word, prepend=0)
+                begin = (np.cumsum(size) - size)[size > 0]
+                step[begin] = word[begin]
+                parts = squeezed(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).view(np.uint8), size.astype("<i4"), step.astype("<i4"), times.astype("<i4"))
+                blobs.append(batch.num_rows.to_bytes(8, "little") + len(word).to_bytes(8, "little") + parts)
+            check = int(np.bitwise_xor.reduce(known)) if len(known) else 0
+            rows = [len(known).to_bytes(8, "little") + check.to_bytes(8, "little"), *blobs]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), unit_name(held, number))), pa.array(np.arange(len(rows)) - len(rows) - 1), pa.array(rows, pa.binary())], ["unit", "bucket", "blob"])
+
+    return placed(docs).mapInArrow(run, "unit long, bucket long, blob binary")
+
+
+def pooled(docs: DataFrame) -> DataFrame:
+    """(doc_id, x): the pooled vector of each row, as bytes of 32-bit floats.
+
+    docs is read three times, and each time its partitions must hold the same rows in the same order, as a
+    table's do; if a unit's words have changed in between, the job fails.
     """
-    total = float(words.agg(F.sum("n")).first()[0] or 0)
-
-    def ask(batches):
-        from pyspark import TaskContext
-
-        place = TaskContext.get().partitionId() << 32
-        for k, batch in enumerate(text_slices(batches)):
-            rows = batch.num_rows
-            doc, h = hashed(batch.column("text"))
-            word, b = np.unique(h, return_inverse=True)
-            pair, times = np.unique(doc * max(1, len(word)) + b, return_counts=True)
-            doc, b = np.divmod(pair, max(1, len(word)))
-            end = np.searchsorted(doc, np.arange(rows + 1)).tolist()
-            raw = np.stack((b, times), 1).astype(np.int32)
-            bags = [raw[x:y].tobytes() for x, y in zip(end[:-1], end[1:])]
-            # A text's row has a number for h, which spreads the rows, and no use of what it may meet there.
-            spread = mix(np.arange(rows, dtype=np.uint64) + U(place + k) * U(K1)).view(np.int64)
-            n = len(word)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, place + k)), pa.array(np.zeros(n, np.int32)), pa.array(word), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], ["slice", "kind", "h", "doc_id", "bag"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, place + k)), pa.array(np.ones(rows, np.int32)), pa.array(spread), batch.column("doc_id"), pa.array(bags, pa.binary())], ["slice", "kind", "h", "doc_id", "bag"])
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def count(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(hashed(b.column("text"))[0]) for b in text_slices(batches))], pa.int64())], ["n"])
+
+    total = float(small_batches(docs).select("text").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0)
 
     def run(batches):
-        for group in whole_groups(batches, "slice", 1 << 12):
-            place, kind = group["slice"].to_numpy(), group["kind"].to_numpy()
-            begin = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-            for lo, hi in zip(begin.tolist(), np.append(begin[1:], len(place)).tolist()):
-                middle = lo + int(np.searchsorted(kind[lo:hi], 1))
-                known, texts = group.slice(lo, middle - lo), group.slice(middle, hi - middle)
-                sums = np.column_stack((unpacked_sums(known["sums"].to_pylist()), known["n"].to_numpy())).astype(np.float64)
-                bags = texts["bag"].to_pylist()
-                raw = np.frombuffer(b"".join(bags), np.int32).reshape(-1, 2)
-                doc = np.repeat(np.arange(len(bags)), [len(x) // 8 for x in bags])
-                x = pool(doc, raw[:, 0], raw[:, 1], word_vectors(sums, total), len(bags))
-                yield pa.RecordBatch.from_arrays([texts["doc_id"].combine_chunks(), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
-
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ask, "slice long, kind int, h long, doc_id long, bag binary")
-    met = rows.join(words.hint("shuffle_merge"), "h", "left").select("slice", "kind", "h", "n", "sums", "doc_id", "bag")
-    return met.repartition("slice").sortWithinPartitions("slice", "kind", "h").mapInArrow(run, "doc_id long, x binary")
+        for group in whole_groups(batches, "unit", 1):
+            unit, bucket, blobs = group["unit"].to_numpy(), group["bucket"].to_numpy(), group["blob"].to_pylist()
+            begin = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(unit)]):
+                texts, known = lo + int(np.searchsorted(bucket[lo:hi], -1)), []
+                vectors = [word_vectors(np.column_stack((sums, n)), total) for n, sums, _ in (unpacked_words(b, False) for b in blobs[texts:hi])]
+                vectors = np.concatenate(vectors) if vectors else np.zeros((0, 2 * DIMS), np.float32)
+                if len(vectors) != int.from_bytes(blobs[lo][:8], "little"):
+                    raise ValueError("the texts' partitions have changed between two reads")
+                for blob in blobs[lo + 1 : texts]:
+                    rows, pairs = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little")
+                    ids, null, size, step, times = restored(blob[16:], (rows, "<i8"), (rows, "|u1"), (rows, "<i4"), (pairs, "<i4"), (pairs, "<i4"))
+                    doc = np.repeat(np.arange(rows), size)
+                    walk = np.cumsum(step.astype(np.int64))
+                    start = (np.cumsum(size) - size)[size > 0]
+                    word = walk - np.repeat(walk[start] - step[start], size[size > 0])
+                    x = pool(doc, word, times, vectors, rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null == 1), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
+
+    answers = summed(requests(docs, bucket_bits(docs)), True)
+    both = small_batches(answers.union(bags(docs)))
+    return both.repartition("unit").sortWithinPartitions("unit", "bucket").mapInArrow(run, "doc_id long, x binary")
 
 
 def logits(net: dict, x: np.ndarray) -> np.ndarray:
@@ -220,7 +321,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     a null doc_id stays null and isn't trained on; repeated rows are scored each. Of a doc_id with several
     labels the highest counts. Texts are read whole; other columns aren't read.
     """
-    features = cut(pooled(docs, cut(word_sums(docs))))
+    features = cut(pooled(docs))
     net = train(*labelled(features, labels, sample_rows))
 
     def score(x: pa.Array) -> pa.Array:

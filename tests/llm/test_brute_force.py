@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, license_scan, maxscore, ngram_join, packing, piece_codec, quality, substring, token_counts, toxicity
-from tessera.llm.common import cut, documents, hash_runs, windows
+from tessera.llm.common import documents, hash_runs, windows
 
 
 @pytest.fixture(scope="module")
@@ -636,12 +636,57 @@ def test_every_word_has_its_own_vector_and_count(spark):
     assert len(sums) == 20_001 and sorted(sums[:, quality.DIMS].tolist())[-2:] == [2.0, 20_002.0]
     h = np.unique(np.concatenate([quality.hashed(pa.array([t], pa.string()))[1] for t in texts]))
     vectors = quality.word_vectors(sums)
-    got = {r.doc_id: np.frombuffer(r.x, np.float32) for r in quality.pooled(df, cut(quality.word_sums(df))).collect()}
+    got = {r.doc_id: np.frombuffer(r.x, np.float32) for r in quality.pooled(df).collect()}
     for i, t in enumerate(texts):
         at = np.searchsorted(h, quality.hashed(pa.array([t], pa.string()))[1])
         assert np.allclose(got[i], vectors[at].mean(0) if len(at) else 0, atol=1e-5)
 
 
+def test_context_sums_equal_a_plain_count(docs, texts):
+    split = re.compile(r"""[a-zA-Z0-9'\x80-\U0010ffff]+|[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+""")
+    number, plain, counts = {}, collections.defaultdict(lambda: np.zeros(quality.DIMS)), collections.Counter()
+    for text in texts.values():
+        words = split.findall(text)
+        counts.update(words)
+        for w in set(words) - number.keys():
+            h = hash_runs(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())])).view(np.int64)
+            spot, sign = quality.index_vectors(h)
+            number[w] = (int(h[0]), np.bincount(spot[0], sign[0], quality.DIMS))
+        for k, w in enumerate(words):
+            for j in range(max(0, k - quality.NEIGHBOURS), min(len(words), k + quality.NEIGHBOURS + 1)):
+                if j != k:
+                    plain[w] += number[words[j]][1]
+    order = sorted(number, key=lambda w: number[w][0])
+    want = np.array([[*plain[w], counts[w]] for w in order])
+    assert np.array_equal(quality.context_sums(docs), want)
+
+
+def test_network_equals_a_plain_forward_pass():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 5))
+    net = quality.train(x, (x[:, 0] > 0).astype(float))
+    for row, p in zip(x, quality.probability(net, x)):
+        z = [(v - m) / s for v, m, s in zip(row, net["mean"], net["std"])]
+        hidden = [np.tanh(sum(z[i] * net["w1"][i, j] for i in range(5)) + net["b1"][j]) for j in range(quality.HIDDEN)]
+        logit = sum(v * w for v, w in zip(hidden, net["w2"])) + net["b2"]
+        assert abs(p - 1 / (1 + np.exp(-logit / net["temperature"]))) < 1e-12
+
+
+@pytest.mark.parametrize("sizes", [(1, 1), (40, 900), (1 << 18, 1 << 22)])
+def test_units_of_any_size_pool_alike(docs, texts, monkeypatch, sizes):
+    monkeypatch.setattr(quality, "UNIT_WORDS", sizes[0])
+    monkeypatch.setattr(quality, "UNIT_TOKENS", sizes[1])
+    few = docs.where("doc_id % 4 = 0").repartition(3, "doc_id")
+    sums = quality.context_sums(few)
+    h = np.unique(np.concatenate([quality.hashed(pa.array([t]))[1] for i, t in texts.items() if i % 4 == 0]))
+    vectors = quality.word_vectors(sums)
+    got = {r.doc_id: np.frombuffer(r.x, np.float32) for r in quality.pooled(few).collect()}
+    assert got.keys() == {i for i in texts if i % 4 == 0}
+    for i, x in got.items():
+        at = np.searchsorted(h, quality.hashed(pa.array([texts[i]]))[1])
+        assert np.allclose(x, vectors[at].mean(0) if len(at) else 0, atol=1e-5)
+
+
 def test_held_out_accuracy(spark):
     import os
 
