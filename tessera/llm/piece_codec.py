@@ -2,14 +2,13 @@
 
 All texts of a slice become one flat symbol array, cut into words across which no piece reaches;
 each distinct word is encoded once. A round finds the best pair of every word (a segmented minimum),
-merges its occurrences from the left, and compacts the array; words without a pair leave. It gives
-what the public library gives, byte fallback included.
+merges its occurrences from the left, and compacts the array; words without a pair leave. In a long word
+every pair that is the best within a piece's reach is merged, as nothing farther off can touch it before its turn.
+It gives what the public library gives, byte fallback included.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,8 +21,6 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
 NO_PAIR = np.iinfo(np.int64).max
 POINTS = 0x110000
-#: Symbols from which a word is merged with a heap, not in rounds (whose number grows with length).
-LONG_WORD = 256
 SLICE = 2 << 20
 SLOT_BITS = 21
 
@@ -82,6 +79,8 @@ class Pieces:
         self.keys, self.rank, self.made = keys[order], np.array([p[2] for p in pairs])[order], np.array([p[3] for p in pairs])[order]
         self.bucket = np.searchsorted(slot[order], np.arange((1 << SLOT_BITS) + 1)).astype(np.int32)
 
+        #: Symbols on either side of a pair that may come to touch it before it is merged.
+        self.reach = max(map(len, pieces)) + 1
         chars = sorted({c for name in pieces for c in name})
         self.letter = np.zeros(POINTS, np.int64)  # 0: in no piece
         for k, c in enumerate(chars):
@@ -116,77 +115,64 @@ def model(path: str) -> Pieces:
     return once(f"pieces {path}", lambda: Pieces(path))
 
 
-def merge_long(m: Pieces, symbols: np.ndarray) -> np.ndarray:
-    """One long word, by a heap of pairs: best rank first, then leftmost."""
-    s, after, before = symbols.tolist(), list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
-    rank, made = m.pair(symbols[:-1], symbols[1:])
-    heap = [(int(r), i, int(symbols[i]), int(symbols[i + 1]), int(made[i])) for i, r in enumerate(rank) if r != NO_PAIR]
-    heapq.heapify(heap)
-    alive = [True] * len(s)
-
-    def push(i: int) -> None:
-        j = after[i]
-        if i >= 0 and j < len(s):
-            r, p = m.pair(np.array([s[i]]), np.array([s[j]]))
-            if r[0] != NO_PAIR:
-                heapq.heappush(heap, (int(r[0]), i, s[i], s[j], int(p[0])))
-
-    while heap:
-        _, i, a, b, p = heapq.heappop(heap)
-        j = after[i]
-        if not alive[i] or s[i] != a or j >= len(s) or s[j] != b:
-            continue
-        s[i], alive[j] = p, False
-        after[i] = after[j]
-        if after[j] < len(s):
-            before[after[j]] = i
-        if before[i] >= 0:
-            push(before[i])
-        push(i)
-    return np.array([x for x, live in zip(s, alive) if live], np.int64)
+def before(rank: np.ndarray, reach: int) -> np.ndarray:
+    """Least of rank[i - reach : i] for each i."""
+    have, out = 1, np.concatenate((np.full(reach, NO_PAIR), rank[:-1]))
+    while 2 * have <= reach:
+        out, have = np.minimum(out[:-have], out[have:]), 2 * have
+    return np.minimum(out[: len(rank)], out[reach - have :][: len(rank)])
 
 
 def merge_rounds(m: Pieces, symbols: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, start of each word) after all merges. start: where each word begins; none is empty."""
-    n = len(start)
+    """(symbols, start of each word) after all merges. start: where each word begins; none is empty.
+
+    A pair's best rank within m.reach symbols on either side is the best of its whole word as far as it is
+    concerned: to meet it, what is merged farther off would have to grow to more characters than any piece has.
+    """
+    n, symbols = len(start), symbols.copy()
     word = np.repeat(np.arange(n), np.diff(np.append(start, len(symbols))))
     done_word, done_symbol = [], []
-    long = np.flatnonzero(np.diff(np.append(start, len(symbols))) > LONG_WORD)
-    if len(long):
-        ends = np.append(start, len(symbols))
-        for k in long.tolist():
-            merged = merge_long(m, symbols[ends[k] : ends[k + 1]])
-            done_symbol.append(merged)
-            done_word.append(np.full(len(merged), k))
-        rest = ~np.isin(word, long)
-        symbols, word = symbols[rest], word[rest]
+    rank, made = np.full(len(symbols), NO_PAIR), np.zeros(len(symbols), np.int64)
+    fresh = np.arange(len(symbols) - 1)  # where pairs have changed
     while len(symbols):
-        rank, made = m.pair(symbols[:-1], symbols[1:])
-        rank = np.append(np.where(word[1:] == word[:-1], rank, NO_PAIR), NO_PAIR)
-        made = np.append(made, 0)
+        fresh = fresh[word[fresh] == word[fresh + 1]]
+        rank[fresh], made[fresh] = m.pair(symbols[fresh], symbols[fresh + 1])
         first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         sizes = np.diff(np.append(first, len(symbols)))
         best = np.repeat(np.minimum.reduceat(rank, first), sizes)
         over = best == NO_PAIR
+        wide = np.flatnonzero(np.repeat(sizes > 2 * m.reach, sizes))
+        if len(wide):
+            left, right = before(rank[wide], m.reach), before(rank[wide][::-1], m.reach)[::-1]
+            best[wide] = np.minimum(np.minimum(left, right), rank[wide])
         done_word.append(word[over])
         done_symbol.append(symbols[over])
-        hit = (rank == best) & ~over
-        at = np.flatnonzero(hit)
+        at = np.flatnonzero((rank == best) & (rank != NO_PAIR))
         if not len(at):
             break
-        # Of hits that overlap (aaa) every other one, from the left; of an unsafe piece's, the first.
+        # Of hits that overlap (aaa) every other one, from the left; none if what is left of them is as good and waits.
         head = np.append(True, np.diff(at) > 1)
-        turn = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        take = turn % 2 == 0
-        lead = np.append(True, word[at][1:] != word[at][:-1])
-        opening = made[at][np.maximum.accumulate(np.where(lead, np.arange(len(at)), 0))]
-        take &= lead | ~m.unsafe[opening]
+        lead = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+        opening = at[lead]
+        take = ((np.arange(len(at)) - lead) % 2 == 0) & ((opening == 0) | (rank[opening - 1] != rank[opening]))
+        # Of an unsafe piece's, the first in the word or within reach.
+        leads = np.append(True, word[at][1:] != word[at][:-1])
+        if len(wide):
+            place = np.searchsorted(wide, at)
+            place[place == len(wide)] = 0
+            leads = np.where(wide[place] == at, left[place] > rank[at], leads)
+        take &= leads | ~m.unsafe[made[at]]
         at = at[take]
-        symbols = symbols.copy()
         symbols[at] = made[at]
+        rank[at] = NO_PAIR
         stay = ~over
         stay[at + 1] = False
-        symbols, word = symbols[stay], word[stay]
+        place = (np.cumsum(stay) - 1)[at]
+        keep = np.flatnonzero(stay)
+        symbols, word, rank, made = symbols[keep], word[keep], rank[keep], made[keep]
+        left_of = place[place > 0] - 1
+        rank[left_of] = NO_PAIR
+        fresh = np.concatenate((left_of, place[place < len(symbols) - 1]))
     word, symbols = np.concatenate(done_word), np.concatenate(done_symbol)
     order = np.argsort(word, kind="stable")
     return symbols[order], np.searchsorted(word[order], np.arange(n))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import base64
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +17,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text that are encoded in one call, and bytes from which a text is split.
 CALL_BYTES, PIECE_BYTES = 1 << 20, 1 << 16
-#: No token spans these: a space between two visible characters always begins a new word.
-SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: No token spans these: a space between two visible characters begins a new word, and letters and digits end where others follow.
+SAFE = regex.compile(r"(?<=\S)(?= \S)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])")
 
 
 def encoding(path: str):
@@ -34,31 +34,40 @@ def load(path: str):
 
 
 def safe_pieces(text: str, size: int = PIECE_BYTES) -> list[str]:
-    """The text in pieces of about `size` characters, cut only where no token can span the cut."""
-    pieces, at = [], 0
-    while len(text) - at > size:
-        cut = SAFE.search(text, at + size)
-        if cut is None:
-            break
-        pieces.append(text[at : cut.start()])
-        at = cut.start()
-    return [*pieces, text[at:]]
+    """The text in pieces of at most `size` bytes, cut only where no token can span the cut; longer ones only where there is no such place."""
+    pieces, waiting = [], [text]
+    while waiting:
+        part = waiting.pop()
+        if len(part) * 4 <= size or len(part.encode()) <= size:
+            pieces.append(part)
+            continue
+        middle = len(part) // 2
+        cut = SAFE.search(part, middle)
+        at = cut.start() if cut and cut.start() < len(part) else 0
+        if not at:  # the last place before the middle
+            for found in SAFE.finditer(part, 1, middle):
+                at = found.start()
+        if at:
+            waiting += [part[at:], part[:at]]
+        else:
+            pieces.append(part)
+    return pieces
 
 
 def count_tokens(texts: list[str | None], path: str = VOCABULARY) -> np.ndarray:
-    """Number of tokens of each text; null counts 0. Pieces are sorted by size into balanced calls."""
+    """Number of tokens of each text; null counts 0. Pieces are sorted by their bytes into balanced calls."""
     own = encoding(path)
-    pieces = [(piece, k) for k, text in enumerate(texts) if text for piece in safe_pieces(text)]
-    pieces.sort(key=lambda x: len(x[0]))
+    pieces = [(piece, k, len(piece.encode())) for k, text in enumerate(texts) if text for piece in safe_pieces(text)]
+    pieces.sort(key=lambda x: x[2])
     total, call, held = np.zeros(len(texts), np.int64), [], 0
 
     def run():
-        for (_, k), ids in zip(call, own.encode_ordinary_batch([piece for piece, _ in call], num_threads=1)):
+        for (_, k, _), ids in zip(call, own.encode_ordinary_batch([piece for piece, *_ in call], num_threads=1)):
             total[k] += len(ids)
 
     for piece in pieces:
         call.append(piece)
-        held += len(piece[0])
+        held += piece[2]
         if held >= CALL_BYTES:
             run()
             call, held = [], 0

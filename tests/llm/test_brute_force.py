@@ -389,6 +389,31 @@ def test_pieces_equal_the_library(texts):
             assert back[k].as_py() == text.replace("▁", " ")
 
 
+def test_long_words_equal_the_library_at_the_cost_of_short_ones():
+    import time
+
+    from sentencepiece import SentencePieceProcessor
+
+    public = SentencePieceProcessor(model_file=piece_codec.MODEL)
+    draw = random.Random(9)
+    source = "".join(draw.choice("eeettaaoinshrdlucmfwyp") for _ in range(20_000))
+    odd = [source, "ab" * 5000, "a" * 4001, "".join(draw.choice(["in", "ing", "the", "er", "tion", "s"]) for _ in range(6000)), "日本語" * 900 + source[:900]]
+    ids, offsets = piece_codec.encode(pa.array(odd))
+    for k, text in enumerate(odd):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == public.encode(text)
+    short = " ".join(source[k : k + 8] for k in range(0, len(source), 8))
+
+    def seconds(text):
+        best = 9.0
+        for _ in range(5):
+            began = time.perf_counter()
+            piece_codec.encode(pa.array([text]))
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert seconds(source) < 8 * seconds(short)  # about 3 on an idle machine
+
+
 def test_decoding_broken_bytes_equals_the_library():
     from sentencepiece import SentencePieceProcessor
 
@@ -408,11 +433,17 @@ def test_token_counts_equal_the_library(docs, texts):
 def test_splitting_long_texts_changes_no_count():
     own = token_counts.encoding(token_counts.VOCABULARY)
     draw = random.Random(6)
-    for _ in range(300):
-        text = "".join(draw.choice(["a", "bc", " ", " ", "  ", "\n", "!", "7", "'s", "é", "\t", "<|endoftext|>"]) for _ in range(200))
-        pieces = token_counts.safe_pieces(text, 7)
-        assert "".join(pieces) == text and len(pieces) > 1
-        assert sum(len(own.encode_ordinary(p)) for p in pieces) == len(own.encode_ordinary(text))
+    for letters in (["a", "bc", " ", " ", "  ", "\n", "!", "7", "'s", "é", "\t", "<|endoftext|>"], ["a", "日本", "7", "!", "'s", "'", "é"], ["日", "本", "。"]):
+        for _ in range(200):
+            text = "".join(draw.choice(letters) for _ in range(200))
+            pieces = token_counts.safe_pieces(text, 24)
+            assert "".join(pieces) == text and len(pieces) > 1
+            assert sum(len(own.encode_ordinary(p)) for p in pieces) == len(own.encode_ordinary(text))
+
+
+def test_pieces_are_bounded_in_bytes():
+    for text in ("日本語の文。" * 20_000, "word " * 60_000, "ab12" * 60_000):
+        assert max(len(p.encode()) for p in token_counts.safe_pieces(text)) <= token_counts.PIECE_BYTES
 
 
 # --- 7: substring dedup ----------------------------------------------------------------------
