@@ -27,7 +27,7 @@ KINDS = byte_table("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01234567
 
 
 #: Distinct words and words from which a unit is closed; both bound a task's memory.
-UNIT_WORDS, UNIT_TOKENS = 1 << 18, 1 << 22
+UNIT_WORDS, UNIT_TOKENS = 1 << 19, 1 << 23
 #: Buckets for each partition of the texts, and the most there are.
 SPREAD, MOST_BITS = 8, 16
 
