@@ -17,8 +17,8 @@ def family(n: int, seed: int = 553, prime: int = PRIME) -> list[tuple[int, int]]
 
 
 def universal(x: Column, a: int, b: int, prime: int = PRIME) -> Column:
-    """(a x + b) mod prime; x is below 2 ** 31, so nothing overflows."""
-    return F.pmod(F.lit(a) * x.cast("long") + F.lit(b), F.lit(prime))
+    """(a x + b) mod prime; x is reduced first, so nothing overflows."""
+    return F.pmod(F.lit(a) * F.pmod(x.cast("long"), F.lit(prime).cast("long")) + F.lit(b), F.lit(prime))
 
 
 def text_number(text: Column) -> Column:

@@ -1,0 +1,7 @@
+"""Operators. What of them runs in Arrow functions travels by value, so executors need no copy of the package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -23,30 +23,31 @@ def dimensions(points: DataFrame) -> int:
 def nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
     """points with cluster and distance of the nearest of centres(cluster, centre); ties by cluster.
 
-    centres has one row for each cluster, k of them, whatever the points are.
+    centres has one row for each cluster, k of them, whatever the points are: they travel as one row, and
+    each point finds its own without a shuffle.
     """
-    each = points.crossJoin(F.broadcast(centres)).withColumn("distance", euclidean(F.col("v"), F.col("centre")))
-    best = each.groupBy("id").agg(F.min_by(F.struct("v", "cluster", "distance"), F.struct("distance", "cluster")).alias("best"))
-    return best.select("id", "best.*")
+    every = centres.agg(F.collect_list(F.struct("cluster", "centre")).alias("centres"))
+    choice = F.array_min(F.transform("centres", lambda c: F.struct(euclidean(F.col("v"), c["centre"]).alias("distance"), c["cluster"].alias("cluster"))))
+    found = points.crossJoin(F.broadcast(every)).withColumn("best", choice)
+    return found.select(*points.columns, F.col("best.cluster").alias("cluster"), F.col("best.distance").alias("distance"))
 
 
-def nearest_of(points: DataFrame, centres: list[tuple[int, list[float]]]) -> DataFrame:
-    """As nearest, with the few centres in the plan itself: one narrow projection and no shuffle."""
-    choices = [F.struct(euclidean(F.col("v"), F.array(*map(F.lit, centre))).alias("distance"), F.lit(k).cast("long").alias("cluster")) for k, centre in centres]
-    best = F.array_min(F.array(*choices))
-    return points.withColumn("best", best).select("id", "v", F.col("best.cluster").alias("cluster"), F.col("best.distance").alias("distance"))
+def centre_frame(spark, centres: list[tuple[int, list[float]]]) -> DataFrame:
+    return spark.createDataFrame([(k, list(map(float, v))) for k, v in centres], "cluster long, centre array<double>")
 
 
 def farthest_first(points: DataFrame, k: int) -> list[tuple[int, list[float]]]:
-    """k (id, v): the lowest id, then each time the point farthest from all chosen; ties by lowest id."""
+    """k (id, v): the lowest id, then each time the point farthest from all chosen; ties by lowest id.
+
+    The few chosen ones travel to the points each time; nothing is kept for a point in between.
+    """
     points = cut(points.select("id", "v"))
     first = points.orderBy("id").first()
     chosen = [(first.id, first.v)] if first else []
-    away = points.withColumn("away", F.lit(math.inf))
     while chosen and len(chosen) < k:
-        away = cut(away.withColumn("away", F.least("away", euclidean(F.col("v"), F.array(*map(F.lit, chosen[-1][1]))))))
-        best = away.agg(F.max_by(F.struct("id", "v", "away"), F.struct("away", -F.col("id"))).alias("p")).first().p
-        if best.away == 0:
+        away = nearest(points, centre_frame(points.sparkSession, list(enumerate(v for _, v in chosen))))
+        best = away.agg(F.max_by(F.struct("id", "v", "distance"), F.struct("distance", -F.col("id"))).alias("p")).first().p
+        if best.distance == 0:
             break
         chosen.append((best.id, best.v))
     return chosen
@@ -63,17 +64,21 @@ def kmeans(points: DataFrame, k: int, rounds: int = 26, moved: float = 0.005, se
     centres = [(j, list(v)) for j, (_, v) in enumerate(seeds or farthest_first(points, k))]
     if not centres:
         return points.select("id", "v", F.lit(0).cast("long").alias("cluster"), F.lit(0.0).alias("distance"))
-    total, assigned = points.count(), None
+    total, before = points.count(), None
     for _ in range(rounds):
-        new = cut(nearest_of(points, centres))
-        if assigned is not None and moved >= 0:
-            changed = new.select("id", "cluster").join(assigned.select("id", F.col("cluster").alias("was")), "id").where("cluster <> was").count()
-            if changed <= moved * total:
-                return new
-        assigned = new
-        means = {r.cluster: r.centre for r in new.groupBy("cluster").agg(F.array(*(F.avg(F.col("v")[i]) for i in range(dims))).alias("centre")).collect()}
-        centres = [(j, means.get(j, centre)) for j, centre in centres]
-    return cut(nearest_of(points, centres))
+        new = nearest(points, centre_frame(points.sparkSession, centres))
+        if before is not None and moved >= 0:
+            # Where a point was follows from the centres before: nothing is kept for a point.
+            was = nearest(points.select("id", "v"), centre_frame(points.sparkSession, before)).select("v", F.col("cluster").alias("was"))
+            both = nearest(was, centre_frame(points.sparkSession, centres))
+            sums = both.groupBy("cluster").agg(F.array(*(F.avg(F.col("v")[i]) for i in range(dims))).alias("centre"), F.count_if(F.col("cluster") != F.col("was")).alias("changed")).collect()
+            if sum(r.changed for r in sums) <= moved * total:
+                break
+        else:
+            sums = new.groupBy("cluster").agg(F.array(*(F.avg(F.col("v")[i]) for i in range(dims))).alias("centre")).collect()
+        means = {r.cluster: r.centre for r in sums}
+        before, centres = centres, [(j, means.get(j, centre)) for j, centre in centres]
+    return nearest(points, centre_frame(points.sparkSession, centres))
 
 
 def centres_of(assigned: DataFrame) -> DataFrame:
@@ -135,12 +140,12 @@ def with_shape(stats: DataFrame) -> DataFrame:
 def mahalanobis_assign(points: DataFrame, stats: DataFrame, alpha: float = 2.0) -> DataFrame:
     """(id, v, cluster, distance): the nearest cluster below alpha * sqrt(d), else null in both.
 
-    stats has one row for each cluster, however many points there are.
+    stats has one row for each cluster, however many points there are; they travel to the points as one row.
     """
     dims = dimensions(points)
-    shape = with_shape(stats).select("cluster", "centre", "std")
-    each = points.select("id", "v").crossJoin(F.broadcast(shape)).withColumn("distance", mahalanobis(F.col("v"), F.col("centre"), F.col("std")))
-    best = each.groupBy("id").agg(F.first("v").alias("v"), F.min(F.struct("distance", "cluster")).alias("best"))
+    every = with_shape(stats).agg(F.collect_list(F.struct("cluster", "centre", "std")).alias("shapes"))
+    choice = F.array_min(F.transform("shapes", lambda c: F.struct(mahalanobis(F.col("v"), c["centre"], c["std"]).alias("distance"), c["cluster"].alias("cluster"))))
+    best = points.select("id", "v").crossJoin(F.broadcast(every)).select("id", "v", choice.alias("best"))
     near = F.col("best.distance") < alpha * math.sqrt(max(dims, 1))
     return best.select("id", "v", F.when(near, F.col("best.cluster")).alias("cluster"), F.when(near, F.col("best.distance")).alias("distance"))
 

@@ -5,9 +5,10 @@ edges(src, dst) holds each undirected edge once, src < dst.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.index import dense_index as dense_index
 from tessera.operators.similarity import co_counts
 from tessera.session import cut
 
@@ -33,23 +34,10 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
 
 
-def dense_index(ids: DataFrame, id: str = "id", width: int = 1 << 20) -> DataFrame:
-    """(id, index): 0, 1, ... in the order of the distinct integer ids.
-
-    Ids are numbered within ranges of `width` and ranges offset by their counts, so no task sorts them all.
-    """
-    rows = ids.select(F.col(id).alias("id")).distinct().withColumn("range", F.floor(F.col("id") / width))
-    counts = rows.groupBy("range").agg(F.count("*").alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offset = counts.select("range", before.alias("before"))
-    number = F.row_number().over(Window.partitionBy("range").orderBy("id")) - 1
-    return rows.withColumn("number", number).join(offset, "range").select("id", (F.col("before") + F.col("number")).alias("index"))
-
-
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(id, label) after `rounds` synchronous rounds; of equally frequent labels the lowest wins."""
     links = cut(both_ways(edges))
-    labels = vertices(edges).select("id", F.col("id").alias("label"))
+    labels = links.select(F.col("src").alias("id"), F.col("src").alias("label")).distinct()
     for _ in range(rounds):
         heard = links.join(labels, links.dst == labels.id).groupBy("src", "label").agg(F.count("*").alias("k"))
         labels = cut(heard.groupBy(F.col("src").alias("id")).agg(F.min_by("label", F.struct(-F.col("k"), "label")).alias("label")))
@@ -79,7 +67,7 @@ def components(edges: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(root, node, level, sigma): distance and number of shortest paths from each root (all vertices if none)."""
     links = cut(both_ways(edges))
-    start = vertices(edges) if roots is None else roots
+    start = links.select(F.col("src").alias("id")).distinct() if roots is None else roots
     frontier = cut(start.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).cast("long").alias("level"), F.lit(1.0).alias("sigma")))
     reached, before, level = frontier, frontier.limit(0), 0
     while not frontier.isEmpty():
@@ -95,7 +83,8 @@ def shortest_paths(edges: DataFrame, roots: DataFrame | None = None) -> DataFram
 
 def edge_betweenness(edges: DataFrame) -> DataFrame:
     """(src, dst, betweenness): credits of all shortest paths, handed from each level to the one above it."""
-    links = cut(both_ways(edges))
+    edges = cut(edges.select("src", "dst"))
+    links = both_ways(edges)
     paths = cut(shortest_paths(edges))
     deepest = paths.agg(F.max("level")).first()[0] or 0
     credit = paths.where(F.col("level") == deepest).select("root", "node", "sigma", F.lit(1.0).alias("credit"))
@@ -129,22 +118,24 @@ def girvan_newman(edges: DataFrame, cuts: int | None = None) -> tuple[DataFrame,
     """(id, community) of the best division, and the cuts as (src, dst, modularity after it).
 
     Each cut takes the edge of highest betweenness (ties by edge), and modularity is always that of the
-    original edges. It stops at the first decrease, or after `cuts` cuts if they are given.
+    original edges. It stops at the first decrease, or after `cuts` cuts if they are given. Only the community
+    that is cut is computed again.
     """
     whole = cut(edges.select("src", "dst"))
-    alone = vertices(whole)
 
-    def divided(left: DataFrame) -> DataFrame:
-        found = components(left)
-        return cut(alone.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("community")))
+    def divided(ids: DataFrame, left: DataFrame) -> DataFrame:
+        return ids.join(components(left), "id", "left").select("id", F.coalesce("component", "id").alias("community"))
 
-    left, best = whole, divided(whole)
+    best = now = cut(divided(vertices(whole), whole))
     score, made = modularity(whole, best, "community").first()[0], []
-    last = score
-    while not left.isEmpty() and (cuts is None or len(made) < cuts):
-        top = edge_betweenness(left).orderBy(F.desc("betweenness"), "src", "dst").first()
-        left = cut(left.where(~((F.col("src") == top.src) & (F.col("dst") == top.dst))))
-        now = divided(left)
+    last, between = score, cut(edge_betweenness(whole))
+    while (top := between.orderBy(F.desc("betweenness"), "src", "dst").first()) and (cuts is None or len(made) < cuts):
+        community = now.where(F.col("id") == top.src).first().community
+        inside = cut(now.where(F.col("community") == community).select("id"))
+        ends = inside.select(F.col("id").alias("src"))
+        left = cut(between.join(ends, "src", "left_semi").where((F.col("src") != top.src) | (F.col("dst") != top.dst)).select("src", "dst"))
+        now = cut(now.where(F.col("community") != community).union(divided(inside, left)))
+        between = cut(between.join(ends, "src", "left_anti").select("src", "dst", "betweenness").union(edge_betweenness(left)))
         q = modularity(whole, now, "community").first()[0]
         made.append((top.src, top.dst, q))
         if cuts is None and q < last - 1e-9:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import words
 from tessera.functions.vectors import cosine
+from tessera.session import cut
 
 
 def document_frequency(occurrences: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def tfidf(docs: DataFrame, id: str, text: str = "text", stop: DataFrame | None =
     found = words(docs.withColumnRenamed(id, "id") if id != "id" else docs, text, ("id",))
     if stop is not None:
         found = found.join(stop, "word", "left_anti")
-    tf = found.groupBy("id", "word").agg(F.count("*").alias("tf"))
+    tf = cut(found.groupBy("id", "word").agg(F.count("*").alias("tf")))  # four uses
     most = tf.groupBy("id").agg(F.max("tf").alias("most"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     n = tf.agg(F.countDistinct("id").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.hashing import family, universal
 from tessera.functions.vectors import jaccard
+from tessera.operators.index import numbered
 
 
 def co_counts(pairs: DataFrame, member: str, group: str, least: int = 1) -> DataFrame:
@@ -35,9 +36,9 @@ def jaccard_pairs(pairs: DataFrame, member: str, group: str, least: float) -> Da
 
 
 def minhash(pairs: DataFrame, member: str, number: str, n: int) -> DataFrame:
-    """(id, signature): array of n minima, made in one aggregation with partial minima; number is a 31-bit integer."""
+    """(id, signature): array of n minima, made in one aggregation with partial minima; keys that aren't whole numbers are indexed first."""
     minima = [F.min(universal(F.col(number), a, b)) for a, b in family(n)]
-    return pairs.groupBy(F.col(member).alias("id")).agg(F.array(*minima).alias("signature"))
+    return numbered(pairs, number).groupBy(F.col(member).alias("id")).agg(F.array(*minima).alias("signature"))
 
 
 def signature_rows(signatures: DataFrame) -> DataFrame:
@@ -71,10 +72,11 @@ def lsh_similar_pairs(pairs: DataFrame, member: str, number: str, n: int, rows:
 def mllib_similar_pairs(pairs: DataFrame, member: str, number: str, dims: int, tables: int, least: float) -> DataFrame:
     """(a, b, sim) by MLlib's MinHashLSH, as a second way."""
     from pyspark.ml.feature import MinHashLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.feature import CountVectorizerModel
 
-    sets = pairs.groupBy(F.col(member).alias("id")).agg(F.sort_array(F.collect_set(number)).alias("items"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.array_contains("items", k).cast("double"))
-    rows = sets.select("id", array_to_vector(dense).alias("features"))
+    items = F.collect_set(F.col(number).cast("string")).alias("items")
+    sets = pairs.groupBy(F.col(member).alias("id")).agg(items)
+    sparse = CountVectorizerModel.from_vocabulary([str(k) for k in range(dims)], "items", "features")
+    rows = sparse.transform(sets).select("id", "features")
     found = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=553).fit(rows).approxSimilarityJoin(rows, rows, 1.0 - least, "distance")
     return found.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), (1.0 - F.col("distance")).alias("sim")).where("a < b")

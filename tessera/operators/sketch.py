@@ -73,7 +73,11 @@ def reservoir(rows: DataFrame, key: str, n: int) -> DataFrame:
 
 def trending(rows: DataFrame, tag: str, ranks: int = 3) -> DataFrame:
     """(tag, n, rank): all tags whose count is among the `ranks` highest counts. Tags are counted first, so the one window holds a row a tag."""
-    counts = rows.groupBy(F.col(tag).alias("tag")).agg(F.count("*").alias("n"))
+    return ranked(rows.groupBy(F.col(tag).alias("tag")).agg(F.count("*").alias("n")), ranks)
+
+
+def ranked(counts: DataFrame, ranks: int = 3) -> DataFrame:
+    """(tag, n, rank) of counts(tag, n), those among the `ranks` highest counts."""
     top = counts.select("n").distinct().orderBy(F.desc("n")).limit(ranks)
     rank = F.dense_rank().over(Window.orderBy(F.desc("n"))).cast("long")
     return counts.join(top.select("n", rank.alias("rank")), "n").select("tag", "n", "rank")

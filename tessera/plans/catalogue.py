@@ -11,15 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from uuid import uuid4
+
 from tessera.functions.hashing import bytes_mod
-from tessera.functions.text import STOPWORDS, words
+from tessera.functions.text import STOPWORDS, comma_list, words
 from tessera.functions.vectors import percent_error
 from tessera.operators import aggregates, baskets, cf, cluster, graph, profiles, similarity, sketch
 from tessera.plans import oracle
-from tessera.session import partition_sizes
-from tessera.sources import sinks
+from tessera.session import cut, partition_sizes, shared_folder
+from tessera.sources import sinks, tables
 from tessera.sources.tables import table, timestamped
-from tessera.streaming import streams
+from tessera.streaming import push, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,12 +66,20 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("source", "lang", "text")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one, for what a query writes and reads again."""
+    return f"{shared_folder(spark)}/written-{uuid4().hex}"
+
+
 def stopwords(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in STOPWORDS], "word string")
+    """The list, written as a text file and read again."""
+    folder = scratch(spark)
+    sinks.write_lines(spark.createDataFrame([(w,) for w in STOPWORDS], "value string"), folder)
+    return tables.stopwords(spark, folder)
 
 
 def top_edges(spark: SparkSession, d: str, n: int = 200) -> DataFrame:
-    return graph.strongest(graph.coreview_edges(user_items(spark, d), "u", "b", 2), n).select("src", "dst")
+    return cut(graph.strongest(graph.coreview_edges(user_items(spark, d), "u", "b", 2), n).select("src", "dst"))
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
@@ -215,7 +225,7 @@ def basket_size_filter(spark, d):
 
 @query
 def frequent_itemsets(spark, d):
-    return shown(baskets.frequent_itemsets(brand_baskets(spark, d), 20))
+    return shown(baskets.son(brand_baskets(spark, d), 20))
 
 
 def _level(k: int) -> Query:
@@ -232,14 +242,13 @@ def fpgrowth_itemsets(spark, d):
 
 @query
 def sparse_itemsets(spark, d):
-    found = baskets.frequent_itemsets(baskets.long_baskets(user_items(spark, d), "u", "b"), 8, 2)
+    found = baskets.frequent_itemsets(baskets.long_baskets(user_items(spark, d), "u", "b"), 4, 3)
     return found.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
 
 
 @query
 def itemset_report(spark, d):
-    pairs = baskets.long_baskets(brand_pairs(spark, d), "l_orderkey", "p_brand").where("basket % 20 = 0")
-    levels = baskets.itemset_levels(pairs, 20, 3)
+    levels = baskets.itemset_levels(brand_baskets(spark, d), 20)
     made = frequent = None
     for candidates, level in levels:
         made = candidates if made is None else made.union(candidates)
@@ -265,6 +274,14 @@ def minhash_signature(spark, d):
     return similarity.signature_rows(similarity.minhash(user_items(spark, d), "b", "u", 30))
 
 
+@query
+def minhash_text_keys(spark, d):
+    """As minhash_signature, with users named by strings."""
+    names = table(spark, d, "customer").select(F.col("c_custkey").alias("u"), "c_name")
+    pairs = user_items(spark, d).join(names, "u").select("b", "c_name")
+    return similarity.signature_rows(similarity.minhash(pairs, "b", "c_name", 30))
+
+
 @query
 def lsh_candidates(spark, d):
     return similarity.lsh_candidates(similarity.minhash(user_items(spark, d), "b", "u", 30), 2)
@@ -294,11 +311,24 @@ def user_profile(spark, d):
     return profiles.user_profiles(seen, profiles.item_profiles(texts(spark, d), "source", 200))
 
 
+@query
+def model_pair(spark, d):
+    """Both profile tables, written as one model and loaded again."""
+    seen = texts(spark, d).select(F.col("lang").alias("user"), F.col("source").alias("id"))
+    items = cut(profiles.item_profiles(texts(spark, d), "source", 200))
+    folder = scratch(spark)
+    sinks.write_models({"items": items, "users": profiles.user_profiles(seen, items)}, folder)
+    loaded = tables.models(spark, folder, "items", "users")
+    counts = [m.groupBy(F.lit(name).alias("model"), F.col(key).alias("id")).agg(F.count("*").alias("n")) for (name, m), key in zip(loaded.items(), ("id", "user"))]
+    return counts[0].union(counts[1])
+
+
 @query
 def content_predict(spark, d):
-    seen = texts(spark, d).select(F.col("lang").alias("user"), F.col("source").alias("id")).distinct()
-    items = profiles.item_profiles(texts(spark, d), "source", 200)
-    return profiles.content_predictions(seen, profiles.user_profiles(seen, items), items)
+    every = cut(texts(spark, d))
+    seen = every.select(F.col("lang").alias("user"), F.col("source").alias("id")).distinct()
+    items = cut(profiles.item_profiles(every, "source", 200))
+    return profiles.content_predictions(seen, cut(profiles.user_profiles(seen, items)), items)
 
 
 @query
@@ -337,6 +367,22 @@ def user_cf_predict(spark, d):
     return cf.user_predictions(every.where(held_out()), known, cf.co_rated(known, "u", "b", 2).where("sim > 0"), n=5, least=2)
 
 
+@query
+def user_cf_published(spark, d):
+    """The user model by LSH, five neighbours, at least five."""
+    every = ratings(spark, d)
+    known = cut(every.where(~held_out()))
+    return cf.user_predictions(every.where(held_out()), known, cf.user_model(known), n=5, least=5)
+
+
+@query
+def model_json(spark, d):
+    """The item model, written as JSON lines and loaded in both directions."""
+    folder = scratch(spark)
+    sinks.write_json(cf.item_model(ratings(spark, d)).selectExpr("cast(a as string) id1", "cast(b as string) id2", "sim"), folder)
+    return tables.symmetric_model(tables.json_lines(spark, folder, tables.PAIR_MODEL))
+
+
 # --- graphs ----------------------------------------------------------------------------------
 
 
@@ -357,7 +403,12 @@ def degrees(spark, d):
 
 @query
 def graph_index(spark, d):
-    return graph.dense_index(graph.vertices(top_edges(spark, d)), width=100)
+    return graph.dense_index(graph.vertices(top_edges(spark, d)))
+
+
+@query
+def text_index(spark, d):
+    return graph.dense_index(table(spark, d, "customer").select(F.col("c_name").alias("id")))
 
 
 @query
@@ -372,12 +423,12 @@ def components(spark, d):
 
 @query
 def bfs_paths(spark, d):
-    return graph.shortest_paths(top_edges(spark, d, 60))
+    return graph.shortest_paths(top_edges(spark, d))
 
 
 @query
 def edge_betweenness(spark, d):
-    return graph.edge_betweenness(top_edges(spark, d, 60))
+    return graph.edge_betweenness(top_edges(spark, d))
 
 
 @query
@@ -388,7 +439,7 @@ def modularity(spark, d):
 
 @query
 def gn_first_cut(spark, d):
-    found = graph.edge_betweenness(top_edges(spark, d, 60))
+    found = graph.edge_betweenness(top_edges(spark, d))
     return found.orderBy(F.desc("betweenness"), "src", "dst").limit(1)
 
 
@@ -509,7 +560,7 @@ def trending_users(spark, d):
 
 @query
 def stream_window_counts(spark, d):
-    return streams.drain(streams.window_counts(streams.event_stream(spark, d)))
+    return streams.drain(streams.window_counts(streams.event_stream(spark, d)), each=streams.windows_of)
 
 
 @query
@@ -538,4 +589,178 @@ def stream_reservoir(spark, d):
     return streams.lowest(held, 100).select(F.col("key").alias("event_id"), "priority")
 
 
+@query
+def stream_micro_batches(spark, d):
+    """Micro-batches that are appended as they come, by a stream that is started, awaited and stopped."""
+    folder = scratch(spark)
+    rows = streams.event_stream(spark, d).select("event_id", "event_type")
+    streams.run_for(rows, lambda batch, _: sinks.append_json(batch, folder), 60, "append", "1 second", settled=True)
+    return tables.json_lines(spark, folder, "event_id long, event_type string")
+
+
+@query
+def stream_pushed_tags(spark, d):
+    """Messages of a push client, spooled, read as a stream and taken apart into tags."""
+    folder = scratch(spark)
+    spool = push.Spool(spark, f"{folder}/spool", 2)
+    for k, r in enumerate(table(spark, d, "region").select("r_name").collect()):  # five rows
+        spool.on_data('{"entities": {"hashtags": [{"text": "%s"}, {"text": "n%d"}]}}' % (r.r_name, k))
+        if k == 2:
+            spool.on_error(420)
+    spool.flush()
+    found = tables.tags(streams.json_stream(push.spooled(spark, f"{folder}/spool"), tables.TWEET))
+    return streams.drain(found, mode="append")
+
+
+# --- sources and sinks: written and read again -----------------------------------------------
+
+
+@query
+def text_lines(spark, d):
+    folder = scratch(spark)
+    sinks.write_lines(table(spark, d, "customer").select(F.col("c_name").alias("value")), folder)
+    return spark.read.text(folder)
+
+
+@query
+def json_rows(spark, d):
+    folder = scratch(spark)
+    orders = table(spark, d, "orders")
+    sinks.write_json(orders.selectExpr("cast(o_orderkey as string) review_id", "cast(o_custkey as string) user_id", "o_totalprice stars", "cast(o_orderdate as string) date"), folder)
+    return tables.json_lines(spark, folder, tables.REVIEW).select("review_id", "user_id", "stars", "date", "text")
+
+
+@query
+def json_runs(spark, d):
+    """One JSON object a run, appended to what is there."""
+    folder = scratch(spark)
+    for year in (1995, 1996, 1997):
+        sinks.append_json(aggregates.count_in_year(table(spark, d, "orders"), "o_orderdate", year).withColumn("year", F.lit(year).cast("long")), folder)
+    return tables.json_lines(spark, folder, "year long, n long")
+
+
+@query
+def csv_rows(spark, d):
+    folder = scratch(spark)
+    sinks.write_csv(table(spark, d, "orders").selectExpr("cast(o_custkey as string) user_id", "cast(o_orderkey as string) business_id"), folder)
+    return tables.csv(spark, folder, tables.USER_ITEM)
+
+
+@query
+def csv_header_tokens(spark, d):
+    """As csv_rows, with the header read as a row and dropped by its names."""
+    folder = scratch(spark)
+    sinks.write_csv(table(spark, d, "orders").selectExpr("cast(o_custkey as string) user_id", "cast(o_orderkey as string) business_id"), folder)
+    return tables.csv(spark, folder, tables.USER_ITEM, header=False).where("user_id <> 'user_id' and business_id <> 'business_id'")
+
+
+@query
+def csv_blocks(spark, d):
+    """A block of rows a round, appended."""
+    folder = scratch(spark)
+    for k in range(3):
+        sinks.append_csv(aggregates.count_by(table(spark, d, "orders").where(F.col("o_orderkey") % 3 == k), F.col("o_orderstatus").alias("status")).select(F.lit(k).alias("round"), "status", "n"), folder)
+    return tables.csv(spark, folder, "round long, status string, n long")
+
+
+@query
+def csv_points(spark, d):
+    folder = scratch(spark)
+    points(spark, d).select("id", *(F.col("v")[k].alias(f"x{k}") for k in range(64))).write.csv(folder)
+    return tables.points(spark, folder, 64).select("id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.col("v")[63].alias("last"))
+
+
+@query
+def chunk_files(spark, d):
+    """Points in files that are read one after the other: (chunk, points, new ids), chunks in the order of their names."""
+    folder = scratch(spark)
+    flat_points = points(spark, d).select("id", *(F.col("v")[k].alias(f"x{k}") for k in range(64)))
+    flat_points.withColumn("chunk", F.col("id") % 4).repartition(4, "chunk").write.partitionBy("chunk").csv(folder)
+    out = None
+    for k in range(4):
+        files = tables.chunks(spark, f"{folder}/chunk={k}", ".csv")
+        rows = tables.points(spark, files, 64).agg(F.lit(k).cast("long").alias("chunk"), F.count("*").alias("n"), F.sum("id").alias("ids"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query
+def bfr_chunks(spark, d):
+    """BFR over chunk files, a file or more a round."""
+    folder = scratch(spark)
+    flat_points = points(spark, d).select("id", *(F.col("v")[k].alias(f"x{k}") for k in range(64)))
+    flat_points.withColumn("chunk", F.col("id") % 4).repartition(4, "chunk").write.partitionBy("chunk").csv(folder)
+    job = cluster.Bfr(10)
+    for k in range(4):
+        job.add(tables.points(spark, tables.chunks(spark, f"{folder}/chunk={k}", ".csv"), 64), last=k == 3)
+    return job.rounds(spark).selectExpr("round_id", "nof_point_discard + nof_point_compression + nof_point_retained as n")
+
+
+@query
+def sample_dataset(spark, d):
+    """A subset by another table's keys, written as CSV and read again."""
+    folder = scratch(spark)
+    nations = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
+    sinks.write_csv(aggregates.semi_join(table(spark, d, "customer"), nations, "c_nationkey").selectExpr("cast(c_custkey as string) user_id", "c_name business_id"), folder)
+    return tables.csv(spark, folder, tables.USER_ITEM)
+
+
+@query
+def hashtags(spark, d):
+    """Tags of JSON objects, those of ASCII letters only."""
+    tweets = table(spark, d, "part").select(F.to_json(F.struct(F.struct(F.transform(F.split("p_name", " "), lambda w: F.struct(w.alias("text"))).alias("hashtags")).alias("entities"))).alias("value"))
+    return aggregates.count_by(tables.tags(streams.json_stream(tweets, tables.TWEET)), F.col("tag"))
+
+
+@query
+def comma_lists(spark, d):
+    listed = table(spark, d, "part").select(F.explode(comma_list(F.when(F.col("p_partkey") % 10 > 0, F.regexp_replace("p_name", " ", " , ")))).alias("category"))
+    return aggregates.count_by(listed, F.col("category"))
+
+
+@query
+def betweenness_lines(spark, d):
+    folder = scratch(spark)
+    sinks.write_lines(sinks.edge_lines(graph.edge_betweenness(top_edges(spark, d)), "betweenness"), folder)
+    return spark.read.text(folder)
+
+
+@query
+def community_report(spark, d):
+    folder = scratch(spark)
+    sinks.write_lines(sinks.community_lines(graph.communities(graph.components(top_edges(spark, d)), "component")), folder)
+    return spark.read.text(folder)
+
+
+@query
+def cluster_json(spark, d):
+    folder = scratch(spark)
+    p = points(spark, d).withColumnRenamed("label", "cluster")
+    near = cluster.mahalanobis_assign(p.where("id % 4 = 0 and id < 4000"), cluster.cluster_stats(p.where("id % 4 <> 0")), 2.0)
+    sinks.write_lines(sinks.cluster_map(near), folder)
+    return spark.read.text(folder)
+
+
+@query
+def bloom_line(spark, d):
+    folder = scratch(spark)
+    customers = table(spark, d, "customer").select(F.col("c_name").alias("key"), "c_custkey")
+    found = sketch.bloom_probe(customers, "key", sketch.bloom_bits(customers.where("c_custkey % 2 = 0"), "key"))
+    sinks.write_lines(sinks.bit_line(customers.where("c_custkey <= 1500").join(found, "key").select(F.col("c_custkey").alias("row"), "hit")), folder)
+    return spark.read.text(folder)
+
+
+@query
+def trending_board(spark, d):
+    folder = scratch(spark)
+    sinks.write_lines(sinks.board_lines(sketch.trending(table(spark, d, "events").select("event_type"), "event_type")), folder)
+    return spark.read.text(folder)
+
+
+@query
+def items_by_number(spark, d):
+    """Rows of each partition, where an item's number names its partition."""
+    return partition_sizes(table(spark, d, "lineitem").repartitionById(8, F.col("l_partkey").cast("int") % 8))
+
+
 ORACLE_SQL: dict[str, str] = oracle.SQL

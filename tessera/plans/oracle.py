@@ -73,9 +73,54 @@ def levels(depth: int = 30) -> str:
     return out + ", p AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(depth + 1)) + ")"
 
 
-BETWEEN = f"""{edges(60)}, {levels()}, bt AS (SELECT src, dst, round(sum(x.sigma * y.sigma / st.sigma) / 2, 6) AS betweenness FROM (SELECT s, d, least(s, d) AS src, greatest(s, d) AS dst FROM l) l
+BETWEEN = f"""{edges(200)}, {levels()}, bt AS (SELECT src, dst, round(sum(x.sigma * y.sigma / st.sigma) / 2, 6) AS betweenness FROM (SELECT s, d, least(s, d) AS src, greatest(s, d) AS dst FROM l) l
     JOIN p x ON x.node = l.s JOIN p y ON y.root = l.d JOIN p st ON st.root = x.root AND st.node = y.node AND st.level = x.level + 1 + y.level GROUP BY src, dst)"""
 
+
+
+def cuts(n: int, top: int = 60, depth: int = 30) -> str:
+    """SELECT id, community of the best of n cuts by betweenness, ties by edge; each round's CTEs end in its number."""
+    out = f"{edges(top)}, e0 AS MATERIALIZED (SELECT src, dst FROM e), dg AS MATERIALIZED (SELECT s AS id, count(*) AS degree FROM l GROUP BY s), m AS MATERIALIZED (SELECT count(*) AS m FROM e)"
+    for r in range(n + 1):
+        out += f", l{r} AS MATERIALIZED (SELECT src AS s, dst AS d FROM e{r} UNION ALL SELECT dst, src FROM e{r})"
+        out += f", reach{r} AS (SELECT id, id AS other FROM dg UNION SELECT reach{r}.id, l{r}.d FROM reach{r} JOIN l{r} ON reach{r}.other = l{r}.s)"
+        out += f", comp{r} AS MATERIALIZED (SELECT id, min(other) AS community FROM reach{r} GROUP BY id)"
+        out += f""", q{r} AS MATERIALIZED (SELECT {r} AS r, round(sum(coalesce(k, 0) / m - pow(degree / (2.0 * m), 2)), 6) AS q FROM (SELECT community, sum(degree) AS degree FROM dg JOIN comp{r} USING (id) GROUP BY 1)
+            LEFT JOIN (SELECT x.community, count(*) AS k FROM e0 JOIN comp{r} x ON x.id = src JOIN comp{r} y ON y.id = dst WHERE x.community = y.community GROUP BY 1) USING (community), m)"""
+        if r == n:
+            break
+        p = f"p{r}x"
+        out += f", {p}0 AS MATERIALIZED (SELECT DISTINCT s AS root, s AS node, 0::BIGINT AS level, 1.0::DOUBLE AS sigma FROM l{r})"
+        for k in range(depth):
+            old = f"SELECT root, node FROM {p}{k}" + (f" UNION ALL SELECT root, node FROM {p}{k - 1}" if k else "")
+            out += f", {p}{k + 1} AS MATERIALIZED (SELECT root, d AS node, {k + 1}::BIGINT AS level, sum(sigma) AS sigma FROM {p}{k} JOIN l{r} ON node = s WHERE (root, d) NOT IN ({old}) GROUP BY root, d)"
+        out += f", {p} AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM {p}{k}" for k in range(depth + 1)) + ")"
+        out += f""", b{r} AS MATERIALIZED (SELECT least(s, d) AS src, greatest(s, d) AS dst, round(sum(x.sigma * y.sigma / st.sigma) / 2, 6) AS b FROM l{r} l
+            JOIN {p} x ON x.node = l.s JOIN {p} y ON y.root = l.d JOIN {p} st ON st.root = x.root AND st.node = y.node AND st.level = x.level + 1 + y.level GROUP BY 1, 2)"""
+        out += f", e{r + 1} AS MATERIALIZED (SELECT src, dst FROM b{r} QUALIFY row_number() OVER (ORDER BY b DESC, src, dst) > 1)"
+    every = " UNION ALL ".join(f"SELECT {r} AS r, id, community FROM comp{r}" for r in range(n + 1))
+    scores = " UNION ALL ".join(f"SELECT * FROM q{r}" for r in range(n + 1))
+    return f"WITH RECURSIVE {out} SELECT id, community FROM ({every}) WHERE r = (SELECT r FROM ({scores}) ORDER BY q DESC, r LIMIT 1)"
+
+
+def report(support: int, most: int = 6) -> str:
+    """The report's lines: candidates of each size that has frequent itemsets, then those."""
+    shown = "string_agg('(' || array_to_string(list_transform(items, lambda x: '''' || x || ''''), ', ') || ')', ',' ORDER BY items)"
+    ctes = [BASKETS, "c1 AS (SELECT DISTINCT [i] AS items FROM bk)"]
+    for k in range(1, most + 1):
+        names = [f"b{j}" for j in range(k)]
+        joins = "".join(f" JOIN bk {b} ON {b}.k = b0.k AND {a}.i < {b}.i" for a, b in zip(names, names[1:]))
+        items = ", ".join(f"{b}.i" for b in names)
+        ctes.append(f"f{k} AS MATERIALIZED (SELECT [{items}] AS items FROM bk b0{joins} GROUP BY {items} HAVING count(*) >= {support})")
+        if k < most:
+            whole = " AND ".join(f"list_concat(items[:{j}], items[{j + 2}:]) IN (SELECT items FROM f{k})" for j in range(k + 1))
+            ctes.append(f"c{k + 1} AS (SELECT items FROM (SELECT list_append(x.items, y.items[-1]) AS items FROM f{k} x JOIN f{k} y ON x.items[:{k - 1}] = y.items[:{k - 1}] AND x.items[-1] < y.items[-1]) WHERE {whole})")
+    parts = ["SELECT 'Candidates:' AS value", "SELECT 'Frequent Itemsets:'"]
+    for k in range(1, most + 1):
+        parts += [f"SELECT {shown} FROM c{k} WHERE EXISTS (FROM f{k}) HAVING count(*) > 0", f"SELECT {shown} FROM f{k} HAVING count(*) > 0"]
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(parts)
+
+
 POINTS = "pt AS (SELECT vec_id AS id, label::BIGINT AS label, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
@@ -170,7 +215,7 @@ SQL: dict[str, str] = {
     "frequent_itemsets": f"WITH {BASKETS} " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS size, * FROM ({itemsets(k, 20)})" for k in range(1, 7)),
     **{f"apriori_{k}": f"WITH {BASKETS} {itemsets(k, 20)}" for k in (1, 2, 3, 4)},
     "fpgrowth_itemsets": f"WITH {BASKETS} " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS size, * FROM ({itemsets(k, 20)})" for k in range(1, 7)),
-    "sparse_itemsets": f"WITH {UB}, bk AS (SELECT u AS k, b AS i FROM ub) " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS size, * FROM ({itemsets(k, 8)})" for k in (1, 2)),
+    "sparse_itemsets": f"WITH {UB}, bk AS (SELECT u AS k, b AS i FROM ub) " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS size, * FROM ({itemsets(k, 4)})" for k in (1, 2, 3)),
     "cooccurrence_pairs": f"WITH {UB} SELECT x.b AS a, y.b AS b, count(*) AS n FROM ub x JOIN ub y ON x.u = y.u AND x.b < y.b GROUP BY 1, 2 HAVING count(*) >= 5",
     "jaccard_pairs": f"WITH {UB}, s AS (SELECT b, count(*) AS k FROM ub GROUP BY b) SELECT a, c.b, round(n / (x.k + y.k - n), 6) AS sim FROM (SELECT x.b AS a, y.b AS b, count(*) AS n FROM ub x JOIN ub y ON x.u = y.u AND x.b < y.b GROUP BY 1, 2) c JOIN s x ON x.b = a JOIN s y ON y.b = c.b WHERE n / (x.k + y.k - n) >= 0.05",
     "minhash_signature": f"WITH {UB}, sig AS (SELECT b AS id, {minimum(30)} FROM ub GROUP BY b) SELECT id, unnest(range(30)) AS h, unnest([{', '.join(f'h{j}' for j in range(30))}]) AS value FROM sig",
@@ -190,13 +235,45 @@ SQL: dict[str, str] = {
     "item_cf_predict": predictions("b", model("known", "b", "u", 3)),
     "item_cf_predict_top": predictions("b", model("known", "b", "u", 3), best=3),
     "user_cf_predict": predictions("u", model("known", "u", "b", 2, False), best=5, least=2),
+    "user_cf_published": predictions("u", f"""SELECT a, b, n, sim FROM ({model('en', 'u', 'b', 3, False)}) SEMI JOIN nr USING (a, b)""", best=5, least=5).replace("md AS (", f"""en AS (SELECT * FROM known WHERE u IN (SELECT u FROM known GROUP BY 1 HAVING count(*) >= 3)), {banded(30, 1, 'b', 'u', 'en')},
+        cd AS (SELECT DISTINCT x.id AS a, y.id AS b FROM bd x JOIN bd y ON x.band = y.band AND x.key = y.key AND x.id < y.id), sz AS (SELECT u, count(*) AS k FROM en GROUP BY u),
+        nr AS (SELECT a, c.b FROM (SELECT cd.a, cd.b, count(*) AS n FROM cd JOIN en x ON x.u = cd.a JOIN en y ON y.u = cd.b AND y.b = x.b GROUP BY ALL) c JOIN sz x ON x.u = a JOIN sz y ON y.u = c.b WHERE n / (x.k + y.k - n) >= 0.01), md AS (""", 1),
+    "model_json": f"WITH {RATINGS}, md AS ({model('ratings', 'b', 'u', 3)}) SELECT a::VARCHAR AS id1, b::VARCHAR AS id2, sim FROM md UNION ALL SELECT b::VARCHAR, a::VARCHAR, sim FROM md",
+    "model_pair": f"""WITH {TFIDF}, {SEEN} SELECT 'items' AS model, id, count(*) AS n FROM prof GROUP BY id UNION ALL SELECT 'users', "user", count(*) FROM up GROUP BY 2""",
+    "itemset_report": report(20),
+    "girvan_newman": cuts(3),
+    "text_index": 'SELECT c_name AS id, row_number() OVER (ORDER BY c_name) - 1 AS "index" FROM (SELECT DISTINCT c_name FROM customer)',
+    "minhash_text_keys": f"WITH {UB}, nm AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT u FROM ub)), ix AS (SELECT c_custkey, dense_rank() OVER (ORDER BY c_name) - 1 AS x FROM nm), tx AS (SELECT b, x FROM ub JOIN ix ON u = c_custkey), sig AS (SELECT b AS id, {minimum(30, 'x')} FROM tx GROUP BY b) SELECT id, unnest(range(30)) AS h, unnest([{', '.join(f'h{j}' for j in range(30))}]) AS value FROM sig",
+    "stream_micro_batches": "SELECT event_id, event_type FROM events",
+    "stream_pushed_tags": "SELECT r_name AS tag FROM region WHERE regexp_full_match(r_name, '[A-Za-z]+')",
+    "text_lines": "SELECT c_name AS value FROM customer",
+    "json_rows": "SELECT o_orderkey::VARCHAR AS review_id, o_custkey::VARCHAR AS user_id, o_totalprice AS stars, strftime(o_orderdate, '%Y-%m-%d') AS date, NULL::VARCHAR AS text FROM orders",
+    "json_runs": "SELECT year(o_orderdate) AS year, count(*) AS n FROM orders WHERE year(o_orderdate) IN (1995, 1996, 1997) GROUP BY 1",
+    "csv_rows": "SELECT o_custkey::VARCHAR AS user_id, o_orderkey::VARCHAR AS business_id FROM orders",
+    "csv_header_tokens": "SELECT o_custkey::VARCHAR AS user_id, o_orderkey::VARCHAR AS business_id FROM orders",
+    "csv_blocks": "SELECT o_orderkey % 3 AS round, o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1, 2",
+    "csv_points": f"WITH {POINTS} SELECT id, round(list_sum(v), 6) AS total, v[64] AS last FROM pt",
+    "chunk_files": f"WITH {POINTS} SELECT id % 4 AS chunk, count(*) AS n, sum(id)::BIGINT AS ids FROM pt GROUP BY 1",
+    "bfr_chunks": f"WITH {POINTS} SELECT k + 1 AS round_id, count(*) AS n FROM pt, range(4) r(k) WHERE id % 4 <= k GROUP BY 1",
+    "sample_dataset": "SELECT c_custkey::VARCHAR AS user_id, c_name AS business_id FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
+    "hashtags": "SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS tag FROM part) WHERE regexp_full_match(tag, '[A-Za-z]+') GROUP BY tag",
+    "comma_lists": "SELECT category, count(*) AS n FROM (SELECT unnest(CASE WHEN p_partkey % 10 > 0 THEN string_split(p_name, ' ') ELSE ['None'] END) AS category FROM part) GROUP BY 1",
+    "betweenness_lines": f"WITH {BETWEEN} SELECT '(''' || src || ''', ''' || dst || '''), ' || betweenness AS value FROM bt",
+    "community_report": f"WITH RECURSIVE {edges(200)}, {COMP} SELECT string_agg('''' || id || '''', ', ' ORDER BY id) AS value FROM comp GROUP BY component",
+    "cluster_json": f"""WITH {POINTS}, {DIMS}, st AS (SELECT cluster, dim, avg(x) AS m, sqrt(abs(sum(x * x) / count(*) - (sum(x) / count(*)) * (sum(x) / count(*)))) AS s FROM dm WHERE id % 4 <> 0 GROUP BY ALL),
+        ds AS (SELECT p.id, st.cluster, sqrt(sum(pow((x - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 2))) AS d FROM dm p JOIN st USING (dim) WHERE p.id % 4 = 0 AND p.id < 4000 GROUP BY ALL),
+        best AS (SELECT id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM ds GROUP BY id)
+        SELECT '{{' || string_agg('"' || id || '": ' || CASE WHEN d < 16 THEN cluster ELSE -1 END, ', ' ORDER BY id) || '}}' AS value FROM best""",
+    "bloom_line": f"WITH bits AS (SELECT DISTINCT unnest({positions('c_name')}) AS pos FROM customer WHERE c_custkey % 2 = 0), st AS (SELECT list(pos) AS st FROM bits) SELECT string_agg(list_has_all(st, {positions('c_name')})::INTEGER::VARCHAR, ' ' ORDER BY c_custkey) AS value FROM customer, st WHERE c_custkey <= 1500",
+    "trending_board": "SELECT tag || ' : ' || n AS value FROM (" + TRENDING.format("SELECT event_type AS tag, count(*) AS n FROM events GROUP BY 1") + ")",
+    "items_by_number": "SELECT l_partkey % 8 AS partition, count(*) AS n_rows FROM lineitem GROUP BY 1",
     "coreview_edges": f"WITH {UB} SELECT x.u AS src, y.u AS dst, count(*) AS n FROM ub x JOIN ub y ON x.b = y.b AND x.u < y.u GROUP BY 1, 2 HAVING count(*) >= 7",
     "strongest_edges": f"WITH {edges(200)} SELECT src, dst FROM e",
     "degrees": f"WITH {edges(200)} SELECT s AS id, count(*) AS degree FROM l GROUP BY s",
     "graph_index": f'WITH {edges(200)} SELECT id, row_number() OVER (ORDER BY id) - 1 AS "index" FROM (SELECT DISTINCT s AS id FROM l)',
     "label_propagation": f"WITH {edges(200)}, {labels(5)} SELECT id, label FROM l5",
     "components": f"WITH RECURSIVE {edges(200)}, {COMP} SELECT id, component FROM comp",
-    "bfs_paths": f"WITH {edges(60)}, {levels()} SELECT root, node, level, sigma FROM p",
+    "bfs_paths": f"WITH {edges(200)}, {levels()} SELECT root, node, level, sigma FROM p",
     "edge_betweenness": f"WITH {BETWEEN} SELECT src, dst, betweenness FROM bt",
     "gn_first_cut": f"WITH {BETWEEN} SELECT src, dst, betweenness FROM bt ORDER BY betweenness DESC, src, dst LIMIT 1",
     "modularity": f"""WITH RECURSIVE {edges(200)}, {COMP}, m AS (SELECT count(*) AS m FROM e), dg AS (SELECT component, count(*) AS degree FROM l JOIN comp ON id = s GROUP BY 1),

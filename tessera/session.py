@@ -14,8 +14,9 @@ log = logging.getLogger("tessera")
 
 
 def session(name: str = "tessera", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with UTC and adaptive execution; further settings as keywords, dots as double underscores."""
+    """A session with UTC and adaptive execution, which deletes checkpoints nobody uses; further settings as keywords, dots as double underscores."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -24,10 +25,12 @@ def session(name: str = "tessera", master: str | None = None, **conf: str) -> Sp
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named, as in tests."""
+    """The cluster's checkpoint folder; a temporary one only in local mode where none is named, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return context.getCheckpointDir()
 

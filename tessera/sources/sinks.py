@@ -27,6 +27,12 @@ def write_model(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_models(parts: dict[str, DataFrame], folder: str) -> None:
+    """A model of several tables, each in a folder of its name."""
+    for name, df in parts.items():
+        write_model(df, f"{folder}/{name}")
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 

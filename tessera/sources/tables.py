@@ -30,7 +30,7 @@ def csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> Dat
     return spark.read.schema(schema).option("header", header).csv(path)
 
 
-def points(spark: SparkSession, path: str, dims: int) -> DataFrame:
+def points(spark: SparkSession, path: str | list[str], dims: int) -> DataFrame:
     """(id, v) of a headerless CSV: a number and `dims` coordinates."""
     names = [f"x{k}" for k in range(dims)]
     rows = spark.read.schema("id double, " + ", ".join(f"{n} double" for n in names)).csv(path)
@@ -55,6 +55,11 @@ def symmetric_model(model: DataFrame) -> DataFrame:
     return model.select("id1", "id2", "sim").unionByName(model.select(F.col("id2").alias("id1"), F.col("id1").alias("id2"), "sim"))
 
 
+def models(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    """The tables of a model that sinks.write_models wrote."""
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+
+
 def tags(tweets: DataFrame) -> DataFrame:
     """(tag) of each hashtag that is ASCII letters throughout; tweets without one give no row."""
     return tweets.select(F.explode("entities.hashtags.text").alias("tag")).where(F.col("tag").rlike("^[A-Za-z]+$"))

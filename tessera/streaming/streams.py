@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.functions.hashing import text_number
-from tessera.operators.sketch import fm_combined, trending, zero_runs
+from tessera.operators.sketch import fm_combined, ranked, zero_runs
 from tessera.session import shared_folder
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -53,10 +53,17 @@ def drain(stream: DataFrame, mode: str = "complete", each: Callable[[DataFrame],
     return spark.read.parquet(f"{folder}/rows")
 
 
-def run_for(stream: DataFrame, sink: Callable[[DataFrame, int], None], seconds: int, mode: str = "update", every: str = "5 seconds"):
-    """Starts a micro-batch stream, waits `seconds` for it, stops it and returns the query."""
-    query = stream.writeStream.outputMode(mode).foreachBatch(sink).trigger(processingTime=every).start()
-    query.awaitTermination(seconds)
+def run_for(stream: DataFrame, sink: Callable[[DataFrame, int], None], seconds: int, mode: str = "update", every: str = "5 seconds", settled: bool = False):
+    """Starts a micro-batch stream, waits `seconds` for it, or only until it has read all there is, stops it and returns the query.
+
+    Its state is in the shared folder.
+    """
+    state = f"{shared_folder(stream.sparkSession)}/stream-{uuid4().hex}"
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(sink).trigger(processingTime=every).start()
+    if settled:
+        query.processAllAvailable()
+    else:
+        query.awaitTermination(seconds)
     query.stop()
     return query
 
@@ -66,13 +73,22 @@ def sliding(size: str = "3 days", slide: str = "1 day", ts: str = "ts"):
 
 
 def window_counts(events: DataFrame, size: str = "3 days", slide: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """(start, n_events, n_users): rows and distinct users of each sliding window."""
+    """(start, n_events, n_users): rows and distinct users of each sliding window; of a stream (start, user_id, n), see windows_of.
+
+    A stream's state is a number for each window and user, never a set in one row.
+    """
     if events.isStreaming:
-        events = events.withWatermark("ts", late)
-    counts = events.groupBy(sliding(size, slide).alias("w")).agg(F.count("*").alias("n_events"), F.size(F.collect_set("user_id")).cast("long").alias("n_users"))
+        users = events.withWatermark("ts", late).groupBy(sliding(size, slide).alias("w"), "user_id").agg(F.count("*").alias("n"))
+        return users.select(F.col("w.start").alias("start"), "user_id", "n")
+    counts = events.groupBy(sliding(size, slide).alias("w")).agg(F.count("*").alias("n_events"), F.countDistinct("user_id").alias("n_users"))
     return counts.select(F.col("w.start").alias("start"), "n_events", "n_users")
 
 
+def windows_of(users: DataFrame) -> DataFrame:
+    """(start, n_events, n_users) of a batch of (start, user_id, n)."""
+    return users.groupBy("start").agg(F.sum("n").alias("n_events"), F.count("user_id").alias("n_users"))
+
+
 def tumbling_counts(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(start, event_type, n)."""
     if events.isStreaming:
@@ -102,7 +118,7 @@ def tag_counts(events: DataFrame, tag: str = "event_type") -> DataFrame:
 
 def board(counts: DataFrame, ranks: int = 3) -> DataFrame:
     """(tag, n, rank) of a batch of (tag, n)."""
-    return trending(counts.select("tag", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int")))), "tag", ranks)
+    return ranked(counts.select("tag", "n"), ranks)
 
 
 def stateful_reservoir(events: DataFrame, key: str, n: int, shards: int = 8) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import hashing, text, vectors
@@ -156,8 +157,71 @@ def test_girvan_newman_splits_two_triangles(spark):
 
 
 def test_dense_index_over_ranges(spark):
-    ids = spark.createDataFrame([(5,), (900,), (17,), (5,)], "id long")
-    assert rows(graph.dense_index(ids, width=10)) == [(5, 0), (17, 1), (900, 2)]
+    ids = spark.createDataFrame([(5,), (900,), (17,), (5,), (None,)], "id long")
+    assert rows(graph.dense_index(ids, ranges=2)) == [(5, 0), (17, 1), (900, 2)]
+    names = spark.createDataFrame([(w,) for w in "cab"], "id string")
+    assert rows(graph.dense_index(names)) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_string_keys_have_the_signatures_of_their_numbers(spark):
+    text = spark.createDataFrame([("x", "b"), ("x", "c"), ("y", "a")], "m string, k string")
+    plain = spark.createDataFrame([("x", 1), ("x", 2), ("y", 0)], "m string, k int")
+    assert rows(similarity.minhash(text, "m", "k", 7)) == rows(similarity.minhash(plain, "m", "k", 7))
+
+
+def test_points_that_share_an_id_stay_apart(spark):
+    p = spark.createDataFrame([(1, [0.0]), (1, [9.0]), (None, [1.0])], "id long, v array<double>")
+    centres = spark.createDataFrame([(0, [0.0]), (1, [10.0])], "cluster long, centre array<double>")
+    assert sorted((r.v[0], r.cluster) for r in cluster.nearest(p, centres).collect()) == [(0.0, 0), (1.0, 0), (9.0, 1)]
+    stats = cluster.cluster_stats(spark.createDataFrame([(0, [-1.0]), (0, [1.0])], "cluster long, v array<double>"))
+    assert cluster.mahalanobis_assign(p, stats).count() == 3
+
+
+def test_son_equals_the_levels(spark, monkeypatch):
+    import random
+
+    draw = random.Random(4)
+    pairs = spark.createDataFrame([(b, i) for b in range(300) for i in {int(draw.paretovariate(0.8)) for _ in range(9)} if i < 40], "basket int, item int")
+    want = rows(baskets.frequent_itemsets(pairs, 25))
+    assert rows(baskets.son(pairs, 25)) == want and max(r[0] for r in want) >= 3
+    assert rows(baskets.son(pairs, 25, 2)) == [r for r in want if r[0] <= 2]
+    monkeypatch.setattr(baskets, "CANDIDATES", 3)
+    assert rows(baskets.son(pairs, 25)) == want
+    assert baskets.son(pairs.limit(0), 3).count() == 0
+
+
+def golden(name):
+    """Lines of a file of published results, which an environment variable names."""
+    import os
+
+    if not os.path.isfile(os.environ.get(name, "")):
+        pytest.skip(f"{name} names no file")
+    with open(os.environ[name]) as f:
+        return f.read().splitlines()
+
+
+@pytest.fixture(scope="module")
+def published(spark):
+    found = {}
+    for line in golden("GOLDEN_BETWEENNESS"):
+        ends, value = line.rsplit("), ", 1)
+        found[tuple(sorted(x.strip(" '") for x in ends.strip("(").split(",")))] = float(value)
+    return found, spark.createDataFrame(list(found), "src string, dst string")
+
+
+def test_betweenness_equals_the_published_one(published):
+    want, graph_edges = published
+    got = {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(graph_edges).collect()}
+    assert got.keys() == want.keys() and len(want) == 498
+    assert all(math.isclose(got[e], v, rel_tol=1e-9, abs_tol=1e-6) for e, v in want.items())
+
+
+def test_modularity_of_the_published_communities(spark, published):
+    groups = [[x.strip(" '") for x in line.split(",")] for line in golden("GOLDEN_COMMUNITIES") if line.strip()]
+    labels = spark.createDataFrame([(x, k) for k, g in enumerate(groups) for x in g], "id string, label int")
+    assert len(groups) == 19 and graph.modularity(published[1], labels).first()[0] == 0.687255
+
+
 
 
 def test_label_propagation_is_a_partition(spark):

@@ -1,10 +1,12 @@
 """Readers, writers and streams."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import sketch
 from tessera.sources import sinks, tables
-from tessera.streaming import streams
+from tessera.session import shared_folder
+from tessera.streaming import push, streams
 
 
 def lines(df):
@@ -80,9 +82,9 @@ def test_text_reports(spark):
 
 def test_streams_equal_batches(spark, small):
     events = tables.timestamped(tables.table(spark, small, "events"), "ts")
-    for plan in (streams.window_counts, streams.tumbling_counts, streams.sessions, streams.window_estimates):
+    for plan, each in ((streams.window_counts, streams.windows_of), (streams.tumbling_counts, None), (streams.sessions, None), (streams.window_estimates, None)):
         batch = sorted(map(tuple, plan(events).collect()))
-        assert sorted(map(tuple, streams.drain(plan(streams.event_stream(spark, small))).collect())) == batch
+        assert sorted(map(tuple, streams.drain(plan(streams.event_stream(spark, small)), each=each).collect())) == batch
 
 
 def test_append_mode_gives_closed_windows_only(spark, small):
@@ -121,6 +123,29 @@ def test_socket_stream_has_a_value_column(spark):
     assert found == ["Ab"]
 
 
+def test_spool_keeps_every_message_once(spark, tmp_path):
+    spool = push.Spool(spark, str(tmp_path / "s"), 3)
+    for k in range(8):
+        spool.on_data(f"m{k}\nx")
+    assert spool.on_error("gone") and not spool.held
+    spool.flush()
+    got = streams.drain(push.spooled(spark, str(tmp_path / "s")), mode="append")
+    assert sorted(lines(got)) == [f"m{k} x" for k in range(8)]
+
+
+def test_no_temporary_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session)
+
+
 def test_stateful_reservoir_equals_batch(spark, small):
     held = streams.drain(streams.stateful_reservoir(streams.event_stream(spark, small), "event_id", 50), mode="update")
     want = {r.event_id for r in sketch.reservoir(tables.table(spark, small, "events"), "event_id", 50).collect()}
