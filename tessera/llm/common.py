@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import cut as cut
+
 SLICE_BYTES = 4 << 20
 #: Rows of ids (about 16 bytes each) that may be broadcast; beyond it the join is a shuffle join.
 BROADCAST_ROWS = 4_000_000
@@ -24,19 +25,6 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's shared checkpoint folder; sets a temporary one only where none is named."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared checkpoint folder, so lost executors cost no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def keep_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", limit: int = BROADCAST_ROWS) -> DataFrame:
     """df joined to ids on ids' columns; ids is broadcast only if its counted rows are within limit.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import K1, K2, K3, U, cut, keep_ids
 
-#: Digests of the snapshot a bucket holds on average; the number of buckets follows the snapshot.
+#: Digests a bucket holds on average, of the snapshot or of the batch, whichever has more: neither side of a bucket outgrows a task.
 BUCKET_KEYS = 1 << 17
 
 
@@ -149,10 +149,11 @@ def copied_texts(docs: DataFrame, snapshot: DataFrame | None = None) -> DataFram
         fresh = firsts(mine)
     else:
         held = cut(firsts(digests(snapshot)))
-        buckets = max(1, -(-held.count() // BUCKET_KEYS))
+        batch = cut(firsts(mine))
+        buckets = max(1, -(-max(held.count(), batch.count()) // BUCKET_KEYS))
         bucket = F.pmod(F.shiftrightunsigned("k", 7), F.lit(buckets)).alias("bucket")
         probed = cut(screen(
-            firsts(mine).select(bucket, "k", "digest", "first"),
+            batch.select(bucket, "k", "digest", "first"),
             filters(held.select(bucket, "k")),
         ))
         positive = probed.where("seen").select("digest", "k", "first")

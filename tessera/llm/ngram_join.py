@@ -7,7 +7,8 @@ n-gram sets themselves. A point has about half as many groups as its set has n-g
 the bound is as sharp for long documents as for short ones; a longer point is folded to meet a shorter one.
 
 One tree over all documents can't be spread over a cluster, so documents are first routed: each goes
-to the groups of its ROUTES smallest n-gram hashes, and a tree is built in each group of two or more.
+to the groups of its ROUTES smallest n-gram hashes, and a tree is built in each group of more than four
+(the pairs of smaller ones are bounded by their points alone). A large group is joined in blocks, two a task.
 Two sets of Jaccard similarity j share none of them with a probability of about (1 - j) ** ROUTES
 (4e-7 at 0.6, ROUTES = 16); sets of at most ROUTES n-grams are never missed. A pair is made only where it
 meets first, at its smallest common hash. Documents with equal sets are joined once, as one.
@@ -28,7 +29,9 @@ NGRAM, THRESHOLD, ROUTES = 3, 0.6, 16
 LEAST_BITS, MOST_BITS, MOST_COUNT = 3, 20, 15
 FANOUT = 16
 #: Bytes of an n-gram's hash that are compared when a pair is verified.
-GRAM_BYTES = 6
+GRAM_BYTES = 8
+#: Rows of a group that are joined in one task; a larger group is parted into blocks, and each two blocks are a task.
+CROWD = 2048
 #: Queries that go down the tree together, and pairs they may have there: both bound a task's memory.
 TILE, TILE_PAIRS = 512, 1 << 19
 
@@ -216,12 +219,15 @@ def first_common(routes: np.ndarray, a: np.ndarray, b: np.ndarray, key: np.ndarr
 
 
 def route_pairs(routed: DataFrame, t: float) -> DataFrame:
-    """(key, a, b): candidate pairs of each group of routed(key, node, size, excess, routes, vec), by an R-tree."""
+    """(key, a, b): candidate pairs of each group of routed(key, route, block, cross, node, size, excess, routes, vec), by an R-tree.
+
+    route is the n-gram hash that the group shares; where two blocks of it meet (cross), pairs within a block aren't made.
+    """
 
     def run(batches):
         for group in whole_groups(batches, "key", 1 << 14):
             group = group.combine_chunks()
-            key, node = group["key"].to_numpy(), group["node"].to_numpy()
+            key, route, block, cross, node = (group[c].to_numpy() for c in ("key", "route", "block", "cross", "node"))
             points = Points(group["size"].to_numpy().astype(np.int64), group["excess"].to_numpy().astype(np.int64), group["vec"].to_pylist())
             lists = group["routes"].combine_chunks()
             flat = lists.flatten().to_numpy().view(np.uint64)
@@ -235,15 +241,26 @@ def route_pairs(routed: DataFrame, t: float) -> DataFrame:
             ok = points.reach(a, b, t)
             found = [(a[ok], b[ok])]
             for lo, hi in zip(begin[~few].tolist(), end[~few].tolist()):
-                found += crowd_pairs(points, lo, hi, routes[:, 0], key[lo].view(np.uint64), t)
+                found += crowd_pairs(points, lo, hi, routes[:, 0], route[lo].view(np.uint64), t)
             for a, b in found:
-                ok = first_common(routes, a, b, key[a].view(np.uint64))
+                own = (route[a] == route[b]) & (~cross[a] | (block[a] != block[b]))
+                a, b = a[own], b[own]
+                ok = first_common(routes, a, b, route[a].view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key[a[ok]]), pa.array(node[a[ok]]), pa.array(node[b[ok]])], ["key", "a", "b"])
 
     ordered = routed.repartition("key").sortWithinPartitions("key")
     return ordered.mapInArrow(run, "key long, a long, b long")
 
 
+def blocked(shared: DataFrame) -> DataFrame:
+    """(key, route, block, cross, node) of (route, node, rows): a row for each task that joins the node's block with another or with itself."""
+    blocks = F.ceil(F.col("rows") / CROWD)
+    mine = shared.select("route", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("long").alias("block"))
+    met = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    key = F.when(F.col("blocks") == 1, F.col("route")).otherwise(F.xxhash64("route", F.least("block", "other"), F.greatest("block", "other")))
+    return met.select(key.alias("key"), "route", "block", (F.col("block") != F.col("other")).alias("cross"), "node")
+
+
 def small_pairs(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of rows within each of some short ranges."""
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -331,8 +348,9 @@ def nodes_and_edges(docs: DataFrame, t: float, n: int) -> tuple[DataFrame, DataF
     every = cut(points(docs, n))
     node = every.groupBy("sig", "sig2", "size").agg(F.min("doc_id").alias("node"), F.first("excess").alias("excess"), F.first("routes").alias("routes"), F.first("vec").alias("vec"))
     member = every.select("doc_id", "sig", "sig2", "size").join(node.select("sig", "sig2", "size", "node"), ["sig", "sig2", "size"]).select("doc_id", "node")
-    keys = node.select(F.explode("routes").alias("key"), "node")
-    shared = keys.groupBy("key").agg(F.collect_list("node").alias("at")).where(F.size("at") > 1).select("key", F.explode("at").alias("node"))
+    keys = node.select(F.explode("routes").alias("route"), "node")
+    crowds = keys.groupBy("route").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
+    shared = blocked(keys.join(crowds, "route"))
     routed = shared.join(node.select("node", "size", "excess", "routes", "vec"), "node")
     pairs = cut(route_pairs(routed, t))
     wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())

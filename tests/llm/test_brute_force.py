@@ -535,6 +535,15 @@ def test_pairs_of_edited_copies(spark):
     assert got.items() <= want.items() and len(got) >= 0.98 * len(want) > 50
 
 
+def test_large_groups_are_joined_in_blocks(spark, monkeypatch):
+    draw = random.Random(21)
+    base = [f"w{k}" for k in range(200)]
+    texts = {i: " ".join(f"e{draw.randrange(10**6)}" if draw.random() < 0.03 else w for w in base) for i in range(90)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "CROWD", 8)
+    assert {(r.a, r.b): r.jaccard for r in ngram_join.similar_pairs(df).collect()} == brute_pairs(texts, 3, 0.6)
+
+
 def test_points_bound_the_overlap_at_every_number_of_groups():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 3, 40, 90, 700, 5000)]
