@@ -51,6 +51,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, keep_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
         WHERE doc_id <> keep_id
     """,
+    "op7_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\v\f]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+        x AS (SELECT doc_id, unnest(list_transform(range(len(w) - 44), lambda p: {'p': p, 'k': md5(array_to_string(w[p + 1:p + 45], ' '))})) AS x FROM d WHERE len(w) >= 45),
+        f AS (SELECT doc_id, x.p AS p, first_value(doc_id) OVER o AS of_doc_id, first_value(x.p) OVER o AS of_p FROM x WINDOW o AS (PARTITION BY x.k ORDER BY doc_id, x.p)),
+        r AS (SELECT *, p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 45 AS gap FROM f WHERE doc_id <> of_doc_id OR p <> of_p),
+        s AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM r)
+        SELECT doc_id, min(p) AS first_word, max(p) + 45 - min(p) AS n_words, arg_min(of_doc_id, p) AS of_doc_id FROM s GROUP BY doc_id, run
+    """,
     "op8_ngram_jaccard": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
         g AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM d WHERE len(w) > 0),

@@ -3,13 +3,16 @@
 A window of WIDTH words is hashed only where its position modulo PERIOD is in a difference cover: for
 any two positions some shift below PERIOD moves both into the cover, so two equal passages of WIDTH +
 PERIOD - 1 words share an aligned anchor, though only 6 of 31 positions are hashed. Anchors that
-occur once are dropped. The others are extended: every window of MIN_WORDS words that holds a repeated
-anchor is hashed, and equal windows are equal passages, however many documents share them. Of equal
-windows the first, by (doc_id, position), stays.
+occur once are dropped. The others are extended to both sides: every window of MIN_WORDS words that holds a repeated
+anchor is hashed and meets the first of its kind, by (doc_id, position), which stays; an anchor that many share
+isn't extended pair by pair. Windows that follow their firsts in step make a stretch, and a stretch counts only
+if its words have the same 128-bit digest as the words that it is said to repeat.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -101,18 +104,69 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     held = candidate_windows(some.join(spots, "doc_id"))
     earliest = Window.partitionBy("h").orderBy("doc_id", "at")
     first = F.first(F.struct("doc_id", "at")).over(earliest)
-    later = held.withColumn("first", first).where("doc_id <> first.doc_id or at <> first.at").select("doc_id", "at", F.col("first.doc_id").alias("of_doc_id"))
-    return merged(later)
+    later = held.withColumn("first", first).where("doc_id <> first.doc_id or at <> first.at").select("doc_id", "at", F.col("first.doc_id").alias("of_doc_id"), F.col("first.at").alias("of_at"))
+    found = cut(stretches(later))
+    return merged(repeated_words(found, numbered(named, variants(every))))
+
+
+def stretches(later: DataFrame) -> DataFrame:
+    """(doc_id, at, n, of_doc_id, of_at): windows (doc_id, at, of_doc_id, of_at) that follow each other as their firsts do, n words each."""
+    by = Window.partitionBy("doc_id").orderBy("at")
+    step = (F.col("at") == F.lag("at").over(by) + 1) & (F.col("of_at") == F.lag("of_at").over(by) + 1) & (F.col("of_doc_id") == F.lag("of_doc_id").over(by))
+    run = later.withColumn("opens", 1 - F.coalesce(step, F.lit(False)).cast("int")).withColumn("run", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = run.groupBy("doc_id", "run").agg(F.min("at").alias("at"), F.count("*").alias("k"), F.min("of_doc_id").alias("of_doc_id"), F.min("of_at").alias("of_at"))
+    return rows.select("doc_id", "at", (F.col("k") + MIN_WORDS - 1).alias("n"), "of_doc_id", "of_at")
+
 
+def digests_of(texts: DataFrame) -> DataFrame:
+    """(doc_id, at, n, digest) of the n words from each place in asked, of texts(doc_id, text, v, asked)."""
 
-def merged(later: DataFrame) -> DataFrame:
-    """Windows (doc_id, at, of_doc_id) that overlap or touch, as maximal runs of words."""
+    def run(batches):
+        for batch in text_slices(batches):
+            data, offsets = flat(batch.column("text"))
+            doc, start, end = runs(data, offsets, SPACED)
+            first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            asked, v = batch.column("asked"), batch.column("v").to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(asked.offsets)))
+            values = asked.flatten()
+            at, n = (values.field(c).to_numpy(zero_copy_only=False) for c in ("at", "n"))
+            mine = np.flatnonzero(at >> PLACE_BITS == v[owner])
+            owner, at, n = owner[mine], at[mine], n[mine]
+            # Each word with one space after it, so that white space doesn't count.
+            size = end - start + 1
+            begin = np.append(0, np.cumsum(size))
+            spaced = np.full(begin[-1], 32, np.uint8)
+            inside = np.repeat(start - begin[:-1], size - 1)
+            spot = np.ones(begin[-1], bool)
+            spot[begin[1:] - 1] = False
+            to = np.flatnonzero(spot)
+            spaced[to] = data[to + inside]
+            lo = first[owner] + (at & (1 << PLACE_BITS) - 1)
+            raw = spaced.tobytes()
+            found = [hashlib.md5(raw[x:y]).digest() for x, y in zip(begin[lo].tolist(), begin[lo + n].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(at), pa.array(n), pa.array(found, pa.binary())], ["doc_id", "at", "n", "digest"])
+
+    return texts.mapInArrow(run, "doc_id long, at long, n long, digest binary")
+
+
+def repeated_words(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """The stretches whose words are those that they repeat; found is materialised, texts is (doc_id, text, v)."""
+    here, there = ["doc_id", "at", "n"], [F.col("of_doc_id").alias("doc_id"), F.col("of_at").alias("at"), "n"]
+    asked = cut(found.select(*here).union(found.select(*there)).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("asked")))
+    small = found.count() <= BROADCAST_ROWS  # a row or two of asked for each
+    digest = cut(digests_of(small_batches(texts.join(F.broadcast(asked) if small else asked.hint("shuffle_merge"), "doc_id"))).distinct())
+    same = found.join(digest, here).join(digest.select(F.col("doc_id").alias("of_doc_id"), F.col("at").alias("of_at"), "n", F.col("digest").alias("of_digest")), ["of_doc_id", "of_at", "n"])
+    return same.where("digest = of_digest").select("doc_id", "at", "n", "of_doc_id")
+
+
+def merged(stretch: DataFrame) -> DataFrame:
+    """Stretches (doc_id, at, n, of_doc_id) that overlap or touch, as maximal runs of words."""
     by = Window.partitionBy("doc_id").orderBy("at", "of_doc_id")
-    opens = F.coalesce(F.col("at") > F.lag("at").over(by) + MIN_WORDS, F.lit(True))
-    run = later.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = run.groupBy("doc_id", "run").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.min_by("of_doc_id", F.struct("at", "of_doc_id")).alias("of_doc_id"))
+    reached = F.max(F.col("at") + F.col("n")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    run = stretch.withColumn("opens", F.coalesce(F.col("at") > reached, F.lit(True)).cast("int")).withColumn("run", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = run.groupBy("doc_id", "run").agg(F.min("at").alias("a"), F.max(F.col("at") + F.col("n")).alias("b"), F.min_by("of_doc_id", F.struct("at", "of_doc_id")).alias("of_doc_id"))
     first_word = F.col("a").bitwiseAND((1 << PLACE_BITS) - 1).alias("first_word")
-    return spans.select("doc_id", F.shiftright("a", PLACE_BITS).alias("v"), first_word, (F.col("b") + MIN_WORDS - F.col("a")).alias("n_words"), "of_doc_id")
+    return spans.select("doc_id", F.shiftright("a", PLACE_BITS).alias("v"), first_word, (F.col("b") - F.col("a")).alias("n_words"), "of_doc_id")
 
 
 def without_words(text: pa.Array, spans: pa.Array) -> pa.Array:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, license_scan, maxscore, ngram_join, packing, piece_codec, quality, substring, token_counts, toxicity
-from tessera.llm.common import documents, hash_runs, windows
+from tessera.llm.common import cut, documents, hash_runs, windows
 
 
 @pytest.fixture(scope="module")
@@ -492,6 +492,16 @@ def test_spans_of_every_alignment(spark):
     assert got == brute_spans(rows) and len(got) > 20
 
 
+def test_stretches_with_other_words_are_dropped(spark):
+    words = [f"w{k}" for k in range(200)]
+    texts = spark.createDataFrame([(1, " ".join(words), 0), (2, "x \n " + "  ".join(words), 0), (2, "other", 1)], "doc_id long, text string, v long")
+    found = cut(spark.createDataFrame([(2, 1, 60, 1, 0), (2, 100, 50, 1, 99), (2, 20, 50, 1, 20)], "doc_id long, at long, n long, of_doc_id long, of_at long"))
+    got = substring.repeated_words(found, texts)
+    assert {(r.doc_id, r["at"], r.n) for r in got.collect()} == {(2, 1, 60), (2, 100, 50)}
+    touching = spark.createDataFrame([(2, 1, 60, 1), (2, 61, 50, 1), (2, 112, 45, 3), (2, 10, 45, 1)], "doc_id long, at long, n long, of_doc_id long")
+    assert sorted(map(tuple, substring.merged(touching).collect())) == [(2, 0, 1, 110, 1), (2, 0, 112, 45, 3)]
+
+
 def test_nothing_repeats_after_the_cut(docs, texts):
     left = {r.doc_id: r.text for r in substring.without_repeats(docs).collect()}
     spans = collections.defaultdict(set)
