@@ -626,7 +626,7 @@ def text_lines(spark, d):
 def json_rows(spark, d):
     folder = scratch(spark)
     orders = table(spark, d, "orders")
-    sinks.write_json(orders.selectExpr("cast(o_orderkey as string) review_id", "cast(o_custkey as string) user_id", "o_totalprice stars", "cast(o_orderdate as string) date"), folder)
+    sinks.write_json(orders.selectExpr("cast(o_orderkey as string) review_id", "cast(o_custkey as string) user_id", "o_totalprice stars", "date_format(o_orderdate, 'yyyy-MM-dd') date"), folder)
     return tables.json_lines(spark, folder, tables.REVIEW).select("review_id", "user_id", "stars", "date", "text")
 
 
