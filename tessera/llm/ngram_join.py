@@ -31,7 +31,7 @@ FANOUT = 16
 #: Bytes of an n-gram's hash that are compared when a pair is verified.
 GRAM_BYTES = 8
 #: Rows of a group that are joined in one task; a larger group is parted into blocks, and each two blocks are a task.
-CROWD = 2048
+CROWD = 1 << 14
 #: Queries that go down the tree together, and pairs they may have there: both bound a task's memory.
 TILE, TILE_PAIRS = 512, 1 << 19
 
