@@ -81,24 +81,28 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def best_match(seq: list, place: list, template: list, least: float) -> tuple[int, int, int] | None:
-    """(aligned words, first word, last word) of the best stretch; seq holds the template's words at their places."""
+def matches(seq: list, place: list, template: list, least: float) -> list[tuple[int, int, int]]:
+    """(aligned words, first word, last word) of the best stretches that don't overlap; seq holds the template's words at their places."""
     m, need = len(template), -(-int(least * len(template) * 1000) // 1000)
     opening, distinct = set(template[: m - need + 1]), set(template)
-    reach, best, k = int(STRETCH * m) + SLACK, None, 0
+    reach, found, k = int(STRETCH * m) + SLACK, [], 0
     while k < len(seq):
         skip = k + 1
         if seq[k] in opening:
-            end = bisect_left(place, place[k] + reach, k)
-            part = seq[k:end]
+            part = seq[k : bisect_left(place, place[k] + reach, k)]
             if len(part) >= need and len(set(part)) >= least * len(distinct) - (m - len(distinct)):
-                found = patience(part, template)
-                if len(found) >= need and (best is None or len(found) > best[0]):
-                    best = (len(found), place[k + found[0][0]], place[k + found[-1][0]])
-                    if len(found) == m:
-                        return best
+                pairs = patience(part, template)
+                if len(pairs) >= need:
+                    found.append((len(pairs), place[k + pairs[0][0]], place[k + pairs[-1][0]]))
+                    if len(pairs) == m:
+                        skip = k + pairs[-1][0] + 1  # nothing better overlaps it
         k = skip
-    return best
+    taken: list[tuple[int, int, int]] = []  # by first word
+    for n, first, last in sorted(set(found), key=lambda x: (-x[0], x[2] - x[1], x[1])):
+        at = bisect_left(taken, first, key=lambda x: x[1])
+        if (at == 0 or taken[at - 1][2] < first) and (at == len(taken) or taken[at][1] > last):
+            taken.insert(at, (n, first, last))
+    return taken
 
 
 def prepare(templates: dict[str, str]):
@@ -112,7 +116,7 @@ def prepare(templates: dict[str, str]):
 
 
 def scan_texts(text: pa.Array, templates: dict[str, str], least: float) -> list[tuple[int, int, int, int, int]]:
-    """(text, template, aligned words, first word, last word) of every template that reaches `least`."""
+    """(text, template, aligned words, first word, last word) of every match that reaches `least`."""
     vocabulary, lists, holds = once(f"licences {hash(tuple(templates.items()))}", lambda: prepare(templates))
     doc, h, place = words(text)
     at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
@@ -127,18 +131,16 @@ def scan_texts(text: pa.Array, templates: dict[str, str], least: float) -> list[
     for d, k in zip(*(x.tolist() for x in np.nonzero(enough))):
         mine = slice(first[d], first[d + 1])
         use = holds[k, term[mine]] > 0
-        found = best_match(term[mine][use].tolist(), place[mine][use].tolist(), lists[k], least)
-        if found:
-            out.append((d, k, *found))
+        out += [(d, k, *found) for found in matches(term[mine][use].tolist(), place[mine][use].tolist(), lists[k], least)]
     return out
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = COVERAGE) -> DataFrame:
-    """(doc_id, license, coverage, first_word, n_words): the best match of each licence text in each document.
+    """(doc_id, license, coverage, first_word, n_words): the matches of each licence text in each document.
 
     Only matches that cover at least `least` of the licence text's words are given; first_word and n_words
-    say where in the document, in words (runs of letters and digits, in lower case). Of equally good
-    matches the first is given. Null and empty texts match nothing; a null doc_id stays null;
+    say where in the document, in words (runs of letters and digits, in lower case). Of matches of one licence
+    text that overlap the best is given, then the shortest, then the first. Null and empty texts match nothing; a null doc_id stays null;
     repeated rows are scanned each. Documents are scanned whole. Other columns aren't read.
     """
     templates = dict(TEMPLATES if templates is None else templates)

@@ -352,6 +352,54 @@ def test_packing_places_every_word_once():
     assert max(s[1] for s in steps.values()) < 1.5 * min(s[1] for s in steps.values())
 
 
+def plain_best_fit(size, own, shorter):
+    """As packing.best_fit, by looking at every window and every item."""
+    windows, free = [], []
+    for item in sorted(own, reverse=True):
+        fits = [(free[k], k) for k in range(len(windows)) if free[k] >= item[0]]
+        k = min(fits)[1] if fits else len(windows)
+        if not fits:
+            windows.append([])
+            free.append(size)
+        windows[k].append(item)
+        free[k] -= item[0]
+    order = sorted((k for k in range(len(windows)) if free[k]), key=lambda k: (free[k], k), reverse=True)
+    for tier in shorter:
+        for k in order:
+            while fits := [item for item in tier if item[0] <= free[k]]:
+                windows[k].append(max(fits))
+                tier.remove(max(fits))
+                free[k] -= max(fits)[0]
+    return windows, shorter
+
+
+def test_packing_equals_plain_best_fit():
+    draw = random.Random(31)
+    for _ in range(60):
+        items = [(draw.randrange(1, 65), k, 0, 0) for k in range(draw.randrange(0, 60))]
+        own, short, least = (sorted(x for x in items if lo < x[0] <= hi) for lo, hi in ((32, 64), (8, 32), (0, 8)))
+        assert packing.best_fit(64, own, [list(short), list(least)]) == plain_best_fit(64, own, [list(short), list(least)])
+
+
+def test_packing_needs_hardly_more_windows_than_the_best():
+    draw = random.Random(32)
+
+    def fewest(sizes, room):
+        """Windows of 10 that hold all sizes, by trying every way."""
+        if not sizes:
+            return len(room)
+        best, first = 99, sizes[0]
+        for k in range(len(room)):
+            if room[k] >= first and room[k] not in room[:k]:
+                best = min(best, fewest(sizes[1:], [*room[:k], room[k] - first, *room[k + 1 :]]))
+        return min(best, fewest(sizes[1:], [*room, 10 - first]))
+
+    for _ in range(40):
+        sizes = sorted((draw.randrange(1, 11) for _ in range(8)), reverse=True)
+        used = len(packing.best_fit(10, [(n, k, 0, 0) for k, n in enumerate(sorted(sizes))], [])[0])
+        assert fewest(sizes, []) <= used <= fewest(sizes, []) * 11 / 9 + 1
+
+
 def test_packing_the_table(docs, texts):
     got = packing.packed(docs, shard_words=60_000).collect()
     words = {i: len(re.findall(r"[^ \t\n\r\x0b\x0c]+", t)) for i, t in texts.items()}
@@ -637,6 +685,49 @@ def test_patience_is_an_alignment():
     assert len(license_scan.patience(same, same)) == len(same)
 
 
+def plain_patience(a, b):
+    """Length of the patience alignment, by the rules as they are told."""
+    if not a or not b:
+        return 0
+    if a[0] == b[0]:
+        return 1 + plain_patience(a[1:], b[1:])
+    if a[-1] == b[-1]:
+        return 1 + plain_patience(a[:-1], b[:-1])
+    both = [(a.index(w), b.index(w)) for w in set(a) if a.count(w) == b.count(w) == 1]
+    both.sort(key=lambda x: x[1])
+    chains = []
+    for x, y in both:
+        before = max((c for c in chains if c[-1][0] < x), key=len, default=[])
+        chains.append([*before, (x, y)])
+    if not chains:
+        return 0
+    best, total, at = max(chains, key=len), 0, (0, 0)
+    for x, y in [*best, (len(a), len(b))]:
+        total += plain_patience(a[at[0] : x], b[at[1] : y])
+        at = x + 1, y + 1
+    return total + len(best)
+
+
+def test_patience_aligns_all_that_it_should():
+    draw = random.Random(17)
+    for _ in range(300):  # unlike words: all that was kept is found
+        a = [f"w{k}" for k in range(draw.randrange(1, 60))]
+        b = [w if draw.random() < 0.7 else f"x{draw.randrange(10**6)}" for w in a if draw.random() < 0.9]
+        assert len(license_scan.patience(a, b)) == longest_common(a, b)
+    ties = 0
+    for _ in range(500):
+        a, b = ([draw.randrange(30) for _ in range(draw.randrange(0, 25))] for _ in range(2))
+        got, want = len(license_scan.patience(a, b)), plain_patience(a, b)
+        ties += got != want  # of equally long chains of anchors either may be taken
+    assert ties <= 50
+
+
+def test_every_match_of_a_notice_is_given():
+    line, filler = license_scan.TEMPLATES["MIT notice"], "lorem ipsum dolor sit amet " * 5
+    found = license_scan.scan_texts(pa.array([f"{line} {filler} {line} {filler} Released under the new MIT License {line}"]), license_scan.TEMPLATES, 0.8)
+    assert [(n, a, b) for _, _, n, a, b in found] == [(5, 0, 4), (5, 30, 34), (5, 60, 65), (5, 66, 70)]
+
+
 def test_scan_finds_planted_and_edited_notices():
     draw = random.Random(13)
     names = list(license_scan.TEMPLATES)

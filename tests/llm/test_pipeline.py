@@ -7,6 +7,7 @@ import corpus_pipeline
 from tessera.llm import queries
 from tessera.llm.common import documents
 from tests.llm.test_brute_force import brute_pairs, brute_spans
+from tests.llm.test_edges import ROWS, frame
 from tessera.llm.toxicity import learned_insults, score_texts
 
 import pyarrow as pa
@@ -40,6 +41,18 @@ def test_run_equals_brute_force(spark, small):
     assert got == {i: n for i, n in want.items() if n}
 
 
+def test_run_on_odd_rows_and_on_an_empty_table(spark, tmp_path):
+    labels = spark.createDataFrame([(7, 1), (1, 0), (None, 1), (8, None)], "doc_id long, toxic int")
+    for name, rows in (("odd", ROWS), ("none", [])):
+        frame(spark, rows).write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    got = collections.Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect():
+        got[r.doc_id] += r.n_words
+    assert got == {1: 3, 6: 80_000, 8: 62, 10: 5, 12: 3}
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_stages_keep_the_columns(spark, small):
     docs = documents(spark, small)
     for _, stage in corpus_pipeline.STAGES[:-1]:
