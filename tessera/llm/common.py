@@ -35,7 +35,7 @@ def keep_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", limit: int =
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df; its session makes Arrow batches of a few megabytes at most, however long the texts are."""
+    """df; its session makes Arrow batches of a few megabytes at most, however long the texts are, from now on."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))
     return df
 

@@ -13,7 +13,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import once, small_batches, text_slices, words
@@ -37,6 +37,13 @@ COVERAGE = 0.8
 STRETCH, SLACK = 1.5, 4
 
 
+def templates_in(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Licence texts of a folder, a file each, by the files' names without their ending; empty files are left out."""
+    name = F.regexp_replace(F.element_at(F.split(F.url_decode(F.input_file_name()), "/"), -1), r"\.[^.]*$", "")
+    rows = spark.read.text(folder, wholetext=True).select(name.alias("name"), "value").where("trim(value) <> ''")
+    return {r.name: r.value for r in rows.orderBy("name").collect()}
+
+
 def patience(a: list, b: list, a0: int = 0, b0: int = 0) -> list[tuple[int, int]]:
     """Aligned positions (in a, in b), increasing in both."""
     head = 0

@@ -728,6 +728,21 @@ def test_every_match_of_a_notice_is_given():
     assert [(n, a, b) for _, _, n, a, b in found] == [(5, 0, 4), (5, 30, 34), (5, 60, 65), (5, 66, 70)]
 
 
+def test_whole_licence_texts_from_a_folder(spark, tmp_path):
+    draw = random.Random(40)
+    long = [f"term{draw.randrange(900)}" for _ in range(4000)]
+    (tmp_path / "Own-1.0.txt").write_text("\n".join(long))
+    (tmp_path / "Short text.txt").write_text("do what you like")
+    (tmp_path / "none.txt").write_text(" ")
+    templates = license_scan.templates_in(spark, str(tmp_path))
+    assert list(templates) == ["Own-1.0", "Short text"]
+    edited = [w for w in long if draw.random() < 0.95]
+    df = spark.createDataFrame([(1, "before " + " ".join(edited) + " after"), (2, " ".join(long[:2000])), (3, "Do what you like!")], "doc_id long, text string")
+    got = {(r.doc_id, r.license): r.coverage for r in license_scan.license_scan(df, templates).collect()}
+    assert got.keys() == {(1, "Own-1.0"), (3, "Short text")} and got[3, "Short text"] == 1
+    assert 0.9 < got[1, "Own-1.0"] <= len(edited) / len(long)
+
+
 def test_scan_finds_planted_and_edited_notices():
     draw = random.Random(13)
     names = list(license_scan.TEMPLATES)
