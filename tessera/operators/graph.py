@@ -5,6 +5,8 @@ edges(src, dst) holds each undirected edge once, src < dst.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from tessera.operators.index import dense_index as dense_index
 from tessera.operators.similarity import co_counts
 from tessera.session import cut
 
+#: Edges of a graph that is sent to all tasks, which then share out the roots; paths of larger ones are found by joins.
+SENT_EDGES = 1_000_000
+
 
 def coreview_edges(pairs: DataFrame, member: str, group: str, least: int) -> DataFrame:
     """(src, dst, n): members that share at least `least` groups; others aren't in the graph."""
@@ -84,6 +89,8 @@ def shortest_paths(edges: DataFrame, roots: DataFrame | None = None) -> DataFram
 def edge_betweenness(edges: DataFrame) -> DataFrame:
     """(src, dst, betweenness): credits of all shortest paths, handed from each level to the one above it."""
     edges = cut(edges.select("src", "dst"))
+    if edges.count() <= SENT_EDGES:
+        return betweenness_by_roots(edges)
     links = both_ways(edges)
     paths = cut(shortest_paths(edges))
     deepest = paths.agg(F.max("level")).first()[0] or 0
@@ -103,6 +110,48 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
     return ends.agg(F.round(F.sum("flow") / 2, 6).alias("betweenness"))
 
 
+def betweenness_by_roots(edges: DataFrame) -> DataFrame:
+    """As edge_betweenness, for a graph that a task can hold: each task takes some roots and sums up their credits."""
+    spark, rows = edges.sparkSession, edges.toArrow()
+    m = rows.num_rows
+    if not m:
+        return edges.select("src", "dst", F.lit(0.0).alias("betweenness"))
+    both = pa.chunked_array([*rows["src"].chunks, *rows["dst"].chunks]).combine_chunks().dictionary_encode()
+    src, dst, n = both.indices.to_numpy()[:m].astype(np.int64), both.indices.to_numpy()[m:].astype(np.int64), len(both.dictionary)
+    order = np.argsort(np.concatenate((src, dst)), kind="stable")
+    start = np.searchsorted(np.concatenate((src, dst))[order], np.arange(n + 1))
+    graph = spark.sparkContext.broadcast((start, np.concatenate((dst, src))[order], np.concatenate((np.arange(m), np.arange(m)))[order]))
+
+    def run(batches):
+        start, to, edge = graph.value
+        n, total = len(start) - 1, np.zeros(len(to) // 2)
+        for root in (r for batch in batches for r in batch.column("id").to_pylist()):
+            level, sigma, credit = np.full(n, -1), np.zeros(n), np.ones(n)
+            level[root], sigma[root], frontier, layers = 0, 1.0, np.array([root]), []
+            while len(frontier):
+                size = start[frontier + 1] - start[frontier]
+                at = np.repeat(start[frontier] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                above, below = np.repeat(frontier, size), to[at]
+                fresh = np.unique(below[level[below] < 0])
+                level[fresh] = len(layers) + 1
+                down = level[below] == len(layers) + 1
+                above, below = above[down], below[down]
+                sigma += np.bincount(below, sigma[above], n)
+                layers.append((above, below, edge[at][down]))
+                frontier = fresh
+            for above, below, edges in reversed(layers):
+                flow = credit[below] * sigma[above] / sigma[below]
+                total += np.bincount(edges, flow, len(total))
+                credit += np.bincount(above, flow, n)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["edge", "flow"])
+
+    roots = spark.range(0, n, 1, max(1, min(n, spark.sparkContext.defaultParallelism)))
+    flows = roots.mapInArrow(run, "edge long, flow double").groupBy("edge").agg(F.round(F.sum("flow") / 2, 6).alias("betweenness"))
+    names = spark.createDataFrame(rows.append_column("edge", pa.array(np.arange(m))))
+    return names.join(flows, "edge").select("src", "dst", "betweenness")
+
+
 def modularity(edges: DataFrame, labels: DataFrame, label: str = "label") -> DataFrame:
     """(q): sum over communities of inner edges / m - (degree / 2m) ** 2, over the edges given."""
     a, b = labels.select(F.col("id").alias("src"), F.col(label).alias("la")), labels.select(F.col("id").alias("dst"), F.col(label).alias("lb"))

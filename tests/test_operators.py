@@ -258,9 +258,11 @@ def brandes(pairs):
     return total
 
 
-def test_betweenness_of_a_random_graph(spark):
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_betweenness_of_a_random_graph(spark, monkeypatch, sent):
     import random
 
+    monkeypatch.setattr(graph, "SENT_EDGES", sent)
     draw = random.Random(21)
     pairs = sorted({tuple(sorted(draw.sample(range(40), 2))) for _ in range(70)})
     got = {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(edges(spark, pairs)).collect()}
