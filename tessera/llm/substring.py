@@ -119,31 +119,21 @@ def stretches(later: DataFrame) -> DataFrame:
 
 
 def digests_of(texts: DataFrame) -> DataFrame:
-    """(doc_id, at, n, digest) of the n words from each place in asked, of texts(doc_id, text, v, asked)."""
+    """(doc_id, at, n, digest) of the sizes[k] words from each places[k], of texts(doc_id, text, v, places, sizes)."""
 
     def run(batches):
         for batch in text_slices(batches):
-            data, offsets = flat(batch.column("text"))
-            doc, start, end = runs(data, offsets, SPACED)
-            first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            asked, v = batch.column("asked"), batch.column("v").to_numpy()
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(asked.offsets)))
-            values = asked.flatten()
-            at, n = (values.field(c).to_numpy(zero_copy_only=False) for c in ("at", "n"))
-            mine = np.flatnonzero(at >> PLACE_BITS == v[owner])
+            spots = np.asarray(batch.column("places").offsets)
+            at, n = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("places", "sizes"))
+            at, n = at.astype(np.int64), n.astype(np.int64)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(spots))
+            mine = np.flatnonzero(at >> PLACE_BITS == batch.column("v").to_numpy()[owner])
             owner, at, n = owner[mine], at[mine], n[mine]
-            # Each word with one space after it, so that white space doesn't count.
-            size = end - start + 1
-            begin = np.append(0, np.cumsum(size))
-            spaced = np.full(begin[-1], 32, np.uint8)
-            inside = np.repeat(start - begin[:-1], size - 1)
-            spot = np.ones(begin[-1], bool)
-            spot[begin[1:] - 1] = False
-            to = np.flatnonzero(spot)
-            spaced[to] = data[to + inside]
-            lo = first[owner] + (at & (1 << PLACE_BITS) - 1)
-            raw = spaced.tobytes()
-            found = [hashlib.md5(raw[x:y]).digest() for x, y in zip(begin[lo].tolist(), begin[lo + n].tolist())]
+            found, now, words = [], -1, []
+            for k, p, size in zip(owner.tolist(), (at & (1 << PLACE_BITS) - 1).tolist(), n.tolist()):
+                if k != now:
+                    now, words = k, batch.column("text")[k].as_buffer().to_pybytes().split()  # at ASCII white space
+                found.append(hashlib.md5(b" ".join(words[p : p + size])).digest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(at), pa.array(n), pa.array(found, pa.binary())], ["doc_id", "at", "n", "digest"])
 
     return texts.mapInArrow(run, "doc_id long, at long, n long, digest binary")
@@ -152,8 +142,9 @@ def digests_of(texts: DataFrame) -> DataFrame:
 def repeated_words(found: DataFrame, texts: DataFrame) -> DataFrame:
     """The stretches whose words are those that they repeat; found is materialised, texts is (doc_id, text, v)."""
     here, there = ["doc_id", "at", "n"], [F.col("of_doc_id").alias("doc_id"), F.col("of_at").alias("at"), "n"]
-    asked = cut(found.select(*here).union(found.select(*there)).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("asked")))
-    small = found.count() <= BROADCAST_ROWS  # a row or two of asked for each
+    asked = found.select(*here).union(found.select(*there)).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("asked"))
+    asked = cut(asked.select("doc_id", F.col("asked.at").alias("places"), F.col("asked.n").cast("array<int>").alias("sizes")))
+    small = found.count() <= BROADCAST_ROWS // 2  # each asks twice, in 12 bytes
     digest = cut(digests_of(small_batches(texts.join(F.broadcast(asked) if small else asked.hint("shuffle_merge"), "doc_id"))).distinct())
     same = found.join(digest, here).join(digest.select(F.col("doc_id").alias("of_doc_id"), F.col("at").alias("of_at"), "n", F.col("digest").alias("of_digest")), ["of_doc_id", "of_at", "n"])
     return same.where("digest = of_digest").select("doc_id", "at", "n", "of_doc_id")
