@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Callable, Iterator
 
@@ -34,6 +35,12 @@ def keep_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", limit: int =
     return df.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), ids.columns, how).select(df.columns)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of finished steps that nothing refers to any more, which else wait for the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df; its session makes Arrow batches of a few megabytes at most, however long the texts are, from now on."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))

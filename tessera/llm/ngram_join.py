@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, keep_ids, mix, small_batches, text_slices, whole_groups, words
+from .common import U, cut, keep_ids, mix, release, small_batches, text_slices, whole_groups, words
 from .substring import numbered, variants
 
 NGRAM, THRESHOLD, ROUTES = 3, 0.6, 16
@@ -353,6 +353,8 @@ def nodes_and_edges(docs: DataFrame, t: float, n: int) -> tuple[DataFrame, DataF
     shared = blocked(keys.join(crowds, "route"))
     routed = shared.join(node.select("node", "size", "excess", "routes", "vec"), "node")
     pairs = cut(route_pairs(routed, t))
+    del keys, crowds, shared, routed
+    release(docs.sparkSession)
     wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
     texts = keep_ids(docs, wanted).withColumnRenamed("doc_id", "node")
     return member, verified(pairs, sets(texts, n), t)
@@ -370,6 +372,7 @@ def similar_pairs(docs: DataFrame, t: float = THRESHOLD, n: int = NGRAM) -> Data
     member, edges = nodes_and_edges(named, t, n)
     member = cut(member)
     edges = cut(edges)
+    release(docs.sparkSession)
     x, y = member.select(F.col("node").alias("a"), F.col("doc_id").alias("da")), member.select(F.col("node").alias("b"), F.col("doc_id").alias("db"))
     across = edges.join(x, "a").join(y, "b").select("da", "db", "jaccard")
     crowded = member.groupBy("node").count().where("count > 1").select(F.col("node").alias("a"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import K1, K3, U, byte_table, cut, flat, hash_runs, keep_ids, mix, runs, small_batches, text_slices, whole_groups
+from .common import K1, K3, U, byte_table, cut, flat, hash_runs, keep_ids, mix, release, runs, small_batches, text_slices, whole_groups
 
 DIMS, NEIGHBOURS, SPOTS = 32, 2, 2
 #: Labelled rows that the network is trained and calibrated on, at most: the lowest hashes of doc_id.
@@ -322,6 +322,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     labels the highest counts. Texts are read whole; other columns aren't read.
     """
     features = cut(pooled(docs))
+    release(docs.sparkSession)
     net = train(*labelled(features, labels, sample_rows))
 
     def score(x: pa.Array) -> pa.Array:

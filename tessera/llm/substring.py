@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACED, cut, flat, hash_runs, in_slices, keep_ids, places, runs, signed, small_batches, text_slices, windows
+from .common import BROADCAST_ROWS, SPACED, cut, flat, hash_runs, in_slices, keep_ids, places, release, runs, signed, small_batches, text_slices, windows
 
 PERIOD, COVER, WIDTH = 31, (1, 5, 11, 24, 25, 27), 15
 #: Shortest passage, in words, that counts as a repeat: what the cover is sure to find.
@@ -100,13 +100,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     named = every.where("doc_id is not null and text is not null")
     seen = anchors(named).withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
     spots = cut(seen.groupBy("doc_id").agg(F.array_distinct(F.collect_list("p")).alias("at")))
-    some = numbered(keep_ids(named, spots.select("doc_id")), variants(every))
+    del seen
+    release(docs.sparkSession)
+    of = variants(every)
+    some = numbered(keep_ids(named, spots.select("doc_id")), of)
     held = candidate_windows(some.join(spots, "doc_id"))
     earliest = Window.partitionBy("h").orderBy("doc_id", "at")
     first = F.first(F.struct("doc_id", "at")).over(earliest)
     later = held.withColumn("first", first).where("doc_id <> first.doc_id or at <> first.at").select("doc_id", "at", F.col("first.doc_id").alias("of_doc_id"), F.col("first.at").alias("of_at"))
     found = cut(stretches(later))
-    return merged(repeated_words(found, numbered(named, variants(every))))
+    del some, held, later, spots
+    release(docs.sparkSession)
+    return merged(repeated_words(found, numbered(named, of)))
 
 
 def stretches(later: DataFrame) -> DataFrame:
