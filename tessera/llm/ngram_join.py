@@ -352,6 +352,8 @@ def nodes_and_edges(docs: DataFrame, t: float, n: int) -> tuple[DataFrame, DataF
     crowds = keys.groupBy("route").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
     shared = blocked(keys.join(crowds, "route"))
     routed = shared.join(node.select("node", "size", "excess", "routes", "vec"), "node")
+    # first_common asks for what lies below the group's own hash only.
+    routed = routed.withColumn("routes", F.slice("routes", 1, F.array_position("routes", F.col("route")).cast("int")))
     pairs = cut(route_pairs(routed, t))
     del keys, crowds, shared, routed
     release(docs.sparkSession)

@@ -149,7 +149,7 @@ def repeated_words(found: DataFrame, texts: DataFrame) -> DataFrame:
     here, there = ["doc_id", "at", "n"], [F.col("of_doc_id").alias("doc_id"), F.col("of_at").alias("at"), "n"]
     asked = found.select(*here).union(found.select(*there)).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("asked"))
     asked = cut(asked.select("doc_id", F.col("asked.at").alias("places"), F.col("asked.n").cast("array<int>").alias("sizes")))
-    small = found.count() <= BROADCAST_ROWS // 2  # each asks twice, in 12 bytes
+    small = found.count() <= BROADCAST_ROWS  # each asks twice, in 12 bytes
     digest = cut(digests_of(small_batches(texts.join(F.broadcast(asked) if small else asked.hint("shuffle_merge"), "doc_id"))).distinct())
     same = found.join(digest, here).join(digest.select(F.col("doc_id").alias("of_doc_id"), F.col("at").alias("of_at"), "n", F.col("digest").alias("of_digest")), ["of_doc_id", "of_at", "n"])
     return same.where("digest = of_digest").select("doc_id", "at", "n", "of_doc_id")
