@@ -10,7 +10,7 @@ from .common import documents
 from .exact_dedup import copies_in
 from .license_scan import license_scan
 from .maxscore import top_k
-from .ngram_join import similar_pairs
+from .ngram_join import similarity_classes
 from .packing import packed
 from .piece_codec import encoded
 from .quality import quality_scores
@@ -26,7 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_piece_codec": lambda spark, d: encoded(documents(spark, d)),
     "op6_token_counts": lambda spark, d: token_counts(documents(spark, d)),
     "op7_substring_dedup": lambda spark, d: repeated_spans(documents(spark, d)).select("doc_id", "first_word", "n_words", "of_doc_id"),
-    "op8_ngram_jaccard": lambda spark, d: similar_pairs(documents(spark, d)),
+    "op8_ngram_jaccard": lambda spark, d: similarity_classes(documents(spark, d)),
     "op9_license_scan": lambda spark, d: license_scan(documents(spark, d)),
     "op10_quality": lambda spark, d: quality_scores(documents(spark, d), documents(spark, d, "labels")),
 }
@@ -60,11 +60,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(p) AS first_word, max(p) + 45 - min(p) AS n_words, arg_min(of_doc_id, p) AS of_doc_id FROM s GROUP BY doc_id, run
     """,
     "op8_ngram_jaccard": r"""
-        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-        g AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM d WHERE len(w) > 0),
-        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM g),
-        p AS (SELECT l.doc_id AS a, r.doc_id AS b, count(*) / (any_value(l.n) + any_value(r.n) - count(*)) AS jaccard
-              FROM e l JOIN e r ON l.x = r.x AND l.doc_id < r.doc_id GROUP BY 1, 2)
-        SELECT a, b, jaccard FROM p WHERE jaccard >= 0.6
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w
+              FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)),
+        g AS (SELECT k, doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM d WHERE len(w) > 0),
+        e AS (SELECT k, doc_id, len(s) AS n, unnest(s) AS x FROM g),
+        p AS (SELECT any_value(l.doc_id) AS a, any_value(r.doc_id) AS b
+              FROM e l JOIN e r ON l.x = r.x AND l.doc_id < r.doc_id GROUP BY l.k, r.k HAVING count(*) / (any_value(l.n) + any_value(r.n) - count(*)) >= 0.6),
+        q AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+        c(id, root) AS (SELECT DISTINCT a, a FROM q UNION SELECT q.b, c.root FROM c JOIN q ON q.a = c.id WHERE c.root < q.b),
+        m AS (SELECT id, min(root) AS root FROM c GROUP BY id),
+        n AS (SELECT a, count(*) AS links FROM q GROUP BY a)
+        SELECT i.doc_id, coalesce(m.root, i.doc_id) AS class_id, coalesce(n.links, 0) AS links
+        FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) i LEFT JOIN m ON m.id = i.doc_id LEFT JOIN n ON n.a = i.doc_id
     """,
 }

@@ -602,6 +602,49 @@ def test_large_groups_are_joined_in_blocks(spark, monkeypatch):
     assert {(r.a, r.b): r.jaccard for r in ngram_join.similar_pairs(df).collect()} == brute_pairs(texts, 3, 0.6)
 
 
+def brute_classes(texts, n=3, t=0.6):
+    """{doc_id: (class, links)} by the pairs that brute force finds."""
+    pairs = brute_pairs(texts, n, t)
+    root = {i: i for i in texts}
+    while (low := root | {i: min([root[i], *(root[y] for x, y in pairs if x == i), *(root[x] for x, y in pairs if y == i)]) for i in {i for p in pairs for i in p}}) != root:
+        root = low
+    links = collections.Counter(i for p in pairs for i in p)
+    return {i: (root[i], links[i]) for i in texts}
+
+
+def test_classes_equal_brute_force(docs, texts):
+    got = {r.doc_id: (r.class_id, r.links) for r in ngram_join.similarity_classes(docs).collect()}
+    assert got == brute_classes(texts) and len({c for c, _ in got.values()}) < len(got)
+
+
+def test_links_of_near_copies_are_counted_and_not_written(spark, monkeypatch):
+    draw = random.Random(33)
+    base = [f"w{k}" for k in range(120)]
+    texts = {i: " ".join(f"e{draw.randrange(10**6)}" if draw.random() < 0.02 else w for w in base) for i in range(120)}
+    texts |= {200 + i: texts[i] for i in range(9)} | {300 + i: " ".join([*base[:30], *(f"u{draw.randrange(10**6)}" for _ in range(90))]) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_pairs(texts, 3, 0.6)
+    for split in (512, 8):  # 8: groups are parted by further hashes
+        monkeypatch.setattr(ngram_join, "SPLIT", split)
+        got = {r.doc_id: (r.class_id, r.links) for r in ngram_join.similarity_classes(df).collect()}
+        assert got == brute_classes(texts)
+        assert {(r.a, r.b): r.jaccard for r in ngram_join.similar_pairs(df).collect()} == want
+        monkeypatch.setattr(ngram_join, "CROWD", 16)
+    rows = ngram_join.nodes_and_edges(df, 0.6, 3, True)[1].count()
+    assert rows < len(want) / 2 and {r.doc_id for r in ngram_join.without_near_copies(df).collect()} == {0} | set(range(300, 360))
+
+
+def test_components_within_a_task():
+    rng = np.random.default_rng(8)
+    label, seen = np.arange(200), np.arange(200)
+    for _ in range(6):
+        a, b = rng.integers(0, 200, (2, 20))
+        ngram_join.joined(label, a, b)
+        for x, y in zip(a.tolist(), b.tolist()):
+            seen[(seen == seen[x]) | (seen == seen[y])] = min(seen[x], seen[y])
+        assert label.tolist() == seen.tolist()
+
+
 def test_points_bound_the_overlap_at_every_number_of_groups():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 3, 40, 90, 700, 5000)]

@@ -96,6 +96,7 @@ def test_ngram_join_of_one_id_with_several_texts(spark, top):
     rows = frame(spark, [(i, t, "en", "s", 1) for i, t in texts])
     got = {(r.a, r.b): r.jaccard for r in ngram_join.similar_pairs(rows).collect()}
     assert got == {(2, 3): 48 / 49, (3, 4): 58 / 59, (2, top): 48 / 49}
+    assert plain(ngram_join.similarity_classes(rows), "doc_id", "class_id", "links") == sorted([(1, 1, 0), (2, 2, 2), (3, 2, 2), (4, 2, 1), (top, 2, 1)], key=str)
     kept = ngram_join.without_near_copies(rows)
     assert kept.columns == rows.columns
     assert plain(kept, "doc_id", "text") == sorted([(1, "a b c d e"), (2, other), (2, third), (2, third), (2, None), (3, PASSAGE), (4, "alone")], key=str)
@@ -151,6 +152,9 @@ def test_substring_dedup_of_one_id_with_several_texts(spark):
 
 def test_ngram_join(docs, empty):
     assert plain(ngram_join.similar_pairs(docs), "a", "b", "jaccard") == [(1, 11, 1.0), (8, 9, 58 / 63)]
+    classes = {1: (1, 1), 11: (1, 1), 8: (8, 1), 9: (8, 1)}
+    assert {r.doc_id: (r.class_id, r.links) for r in ngram_join.similarity_classes(docs).collect()} == {i: classes.get(i, (i, 0)) for i in range(1, 13)}
+    assert ngram_join.similarity_classes(empty).count() == 0
     kept = ngram_join.without_near_copies(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in ROWS if r[0] not in (11, 9))
