@@ -634,6 +634,19 @@ def test_links_of_near_copies_are_counted_and_not_written(spark, monkeypatch):
     assert rows < len(want) / 2 and {r.doc_id for r in ngram_join.without_near_copies(df).collect()} == {0} | set(range(300, 360))
 
 
+def test_near_dedup_writes_rows_in_proportion_to_near_copies(spark, monkeypatch):
+    draw = random.Random(34)
+    base, written, cut = [f"w{k}" for k in range(100)], [], ngram_join.cut
+    monkeypatch.setattr(ngram_join, "cut", lambda df: (done := cut(df), written.append(done.count()))[0])
+    most = []
+    for n in (60, 240):
+        rows = [(i, " ".join(f"e{draw.randrange(10**6)}" if draw.random() < 0.01 else w for w in base)) for i in range(n)]
+        written.clear()
+        assert ngram_join.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).count() == 1
+        most.append(max(written))
+    assert most[1] <= 6 * most[0] and most[1] <= ngram_join.ROUTES * 240
+
+
 def test_components_within_a_task():
     rng = np.random.default_rng(8)
     label, seen = np.arange(200), np.arange(200)
