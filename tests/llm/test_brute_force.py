@@ -647,6 +647,22 @@ def test_near_dedup_writes_rows_in_proportion_to_near_copies(spark, monkeypatch)
     assert most[1] <= 6 * most[0] and most[1] <= ngram_join.ROUTES * 240
 
 
+def test_a_common_hash_alone_makes_no_pair(monkeypatch):
+    rng = np.random.default_rng(9)
+    key, size = np.uint64(500), np.full(80, 30)
+    gram = [np.unique(np.append(rng.choice(np.setdiff1d(np.arange(1, 1500), [500]), 29, replace=False), 500)).astype(np.uint64) for _ in size]
+    vec, width, excess = ngram_join.packed_counts(np.concatenate(gram), size)
+    points = ngram_join.Points(size, excess, [v.tobytes() for v in np.split(vec, np.cumsum(width)[:-1])])
+    routes = np.array([g[:20] for g in gram])
+    holds = np.flatnonzero((routes == key).any(1))
+    common = {(i, j): set(routes[i].tolist()) & set(routes[j].tolist()) for i in holds.tolist() for j in holds.tolist() if i < j}
+    want = sorted(p for p, c in common.items() if min(c) == 500 and len(c) > 1)
+    for met in (1 << 21, 64):
+        monkeypatch.setattr(ngram_join, "MET", met)
+        got = [tuple(sorted(p)) for a, b in ngram_join.split_pairs(points, holds, routes, key, 0.01) for p in zip(a.tolist(), b.tolist())]
+        assert sorted(got) == want and 0 < len(want) < len(common) / 2
+
+
 def test_components_within_a_task():
     rng = np.random.default_rng(8)
     label, seen = np.arange(200), np.arange(200)
