@@ -647,6 +647,35 @@ def test_near_dedup_writes_rows_in_proportion_to_near_copies(spark, monkeypatch)
     assert most[1] <= 6 * most[0] and most[1] <= ngram_join.ROUTES * 240
 
 
+def test_sets_are_sent_for_few_rows_without_links(spark, monkeypatch):
+    draw = random.Random(35)
+    phrase, written, cut = [f"p{k}" for k in range(60)], [], ngram_join.cut
+    monkeypatch.setattr(ngram_join, "cut", lambda df: (done := cut(df), written.append(done))[0])
+    texts = {i: " ".join([*phrase, *(f"u{draw.randrange(10**6)}" for _ in range(64))]) for i in range(400)}  # 400 texts, half of each a common phrase
+    texts |= {1000 + i: texts[i].rsplit(" ", 3)[0] for i in range(20)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    edges = ngram_join.nodes_and_edges(df, 0.6, 3, True)[1]
+    sent = [d.select("node").distinct().count() for d in written if "members" in d.columns]
+    linked = edges.select("a").distinct().count()
+    assert linked == 40 and sent[0] > 200 and sent[-1] <= 1.5 * linked
+    assert {(r.a, r.b): r.jaccard for r in ngram_join.similar_pairs(df).collect()} == brute_pairs(texts, 3, 0.6)
+
+
+def test_flags_bound_the_overlap_at_every_number_of_flags():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 3, 40, 90, 700, 5000)]
+    sets += [np.unique(np.concatenate((s[: len(s) * 3 // 4], rng.integers(0, 1 << 63, len(s) // 5 + 1).astype(np.uint64)))) for s in sets]
+    sets += [np.arange(1, 200, dtype=np.uint64), np.arange(1, 150, dtype=np.uint64)]  # all of one flag
+    size = np.array([len(s) for s in sets])
+    raw, width = ngram_join.packed_flags(np.concatenate(sets), size)
+    flags = ngram_join.Flags(size, [v.tobytes() for v in np.split(raw, np.cumsum(width)[:-1])])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    for t in (0.2, 0.6, 0.9):
+        near = np.array([len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= t for i, j in zip(a, b)])
+        got = flags.reach(a, b, t)
+        assert got[near].all() and (t < 0.6 or got.sum() < near.sum() + 10)
+
+
 def test_a_common_hash_alone_makes_no_pair(monkeypatch):
     rng = np.random.default_rng(9)
     key, size = np.uint64(500), np.full(80, 30)
