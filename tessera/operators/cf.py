@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.similarity import lsh_candidates, minhash, set_sizes, with_jaccard
+from tessera.operators.similarity import agreeing, crowded, lsh_candidates, met, minhash, set_sizes, with_jaccard
+from tessera.session import cut
 
 #: Below it a variance is noise, and a correlation undefined.
 FLAT = 1e-9
@@ -19,15 +20,22 @@ def pearson(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Co
 
 def co_rated(ratings: DataFrame, member: str, other: str, least: int, candidates: DataFrame | None = None) -> DataFrame:
     """(a, b, n, sim), a < b: Pearson over the `other`s that both rated, at least `least` of them."""
+    if candidates is None:
+        return correlated(met(rated(ratings, member, other), least))
     one = ratings.select(F.col(other).alias("o"), F.col(member).alias("a"), F.col("stars").alias("x"))
     two = ratings.select(F.col(other).alias("o"), F.col(member).alias("b"), F.col("stars").alias("y"))
-    if candidates is None:
-        both = one.join(two, "o").where("a < b")
-    else:
-        both = candidates.select("a", "b").join(one, "a").join(two, ["b", "o"])
+    both = candidates.select("a", "b").join(one, "a").join(two, ["b", "o"])
     x, y = F.col("x"), F.col("y")
     sums = both.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
-    sums = sums.where(F.col("n") >= least)
+    return correlated(sums.where(F.col("n") >= least))
+
+
+def rated(ratings: DataFrame, member: str, other: str) -> DataFrame:
+    """(g, m, stars) for similarity.met."""
+    return ratings.select(F.col(other).alias("g"), F.col(member).alias("m"), F.col("stars").cast("double").alias("stars"))
+
+
+def correlated(sums: DataFrame) -> DataFrame:
     return sums.select("a", "b", "n", F.round(pearson(*(F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))), 6).alias("sim"))
 
 
@@ -43,9 +51,18 @@ def item_model(ratings: DataFrame, item: str = "b", user: str = "u", least: int
 
 
 def user_model(ratings: DataFrame, user: str = "u", item: str = "b", least: int = 3, hashes: int = 30, rows: int = 1, jaccard: float = 0.01) -> DataFrame:
-    """(a, b, n, sim) of users: LSH candidates, verified by Jaccard and co-ratings, where Pearson is positive."""
+    """(a, b, n, sim) of users: LSH candidates, verified by Jaccard and co-ratings, where Pearson is positive.
+
+    Where fewer pairs share an item than agree in some band, those are correlated first, and the few that are left must agree.
+    """
     enough = at_least(ratings, user, item, least)
-    found = lsh_candidates(minhash(enough, user, item, hashes), rows)
+    signatures = minhash(enough, user, item, hashes)
+    if not crowded(enough, item, signatures, rows):
+        sized = rated(enough, user, item).withColumn("size", F.count("*").over(Window.partitionBy("m")))
+        near = met(sized, least, jaccard)
+        found = correlated(near).where("sim > 0")
+        return agreeing(found, signatures, rows)
+    found = lsh_candidates(signatures, rows)
     left, right = enough.select(F.col(user).alias("a"), F.col(item).alias("g")), enough.select(F.col(user).alias("b"), F.col(item).alias("g"))
     shared = found.join(left, "a").join(right, ["b", "g"]).groupBy("a", "b").agg(F.count("*").alias("n"))
     near = with_jaccard(shared, set_sizes(enough, user, item)).where(F.col("sim") >= jaccard)
@@ -53,6 +70,8 @@ def user_model(ratings: DataFrame, user: str = "u", item: str = "b", least: int
 
 
 def both_ways(model: DataFrame) -> DataFrame:
+    """Each pair from both sides; the model is made once."""
+    model = cut(model.select("a", "b", "sim"))
     return model.select("a", "b", "sim").unionByName(model.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
 
 

@@ -106,6 +106,85 @@ def test_lsh_pairs_are_exact_pairs(spark):
     assert ml <= {p for p in exact}
 
 
+def meeting_rows():
+    """(member, group, stars): one group holds nearly all members, and one member is in nearly all groups."""
+    import random
+
+    draw = random.Random(11)
+    held = {(m, g) for g in range(40) for m in {*draw.sample(range(60), draw.randrange(0, 9)), 7}} | {(m, 40) for m in range(55)}
+    return [(m, g, float(draw.randrange(1, 6))) for m, g in sorted(held)]
+
+
+def brute_meetings(pairs):
+    """{(a, b): [(x, y)]} of the stars in the groups shared."""
+    from itertools import combinations
+
+    groups, found = {}, {}
+    for m, g, stars in pairs:
+        groups.setdefault(g, []).append((m, stars))
+    for held in groups.values():
+        for (a, x), (b, y) in combinations(sorted(held), 2):
+            found.setdefault((a, b), []).append((x, y))
+    return found
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_pairs_are_counted_in_tasks_of_bounded_size(spark, monkeypatch, text):
+    monkeypatch.setattr(similarity, "TASK_PAIRS", 50, raising=False)
+    monkeypatch.setattr(similarity, "LAID_OUT", 16, raising=False)
+    pairs, kind = meeting_rows(), "string" if text else "long"
+    named = [(f"m{m:02}" if text else m, g, s) for m, g, s in pairs]
+    df = spark.createDataFrame([*named, (None, 3, 1.0), (named[0][0], None, 1.0)], f"m {kind}, g long, stars double")
+    want = brute_meetings(named)
+    found = similarity.co_counts(df.union(df), "m", "g", 2)  # repeated rows count once
+    assert rows(found) == sorted((*p, len(x)) for p, x in want.items() if len(x) >= 2)
+    # Tasks grow with the pairs, and no task makes more than its share and one member's.
+    assert found.rdd.getNumPartitions() > 10 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = {m: len({g for n, g, _ in named if n == m}) + (m == named[0][0]) for m, _, _ in named}  # a null group counts in a size, as ever
+    near = {p: len(x) / (size[p[0]] + size[p[1]] - len(x)) for p, x in want.items()}
+    got = {(r.a, r.b): r.sim for r in similarity.jaccard_pairs(df, "m", "g", 0.2).collect()}
+    assert got == {p: j for p, j in near.items() if j >= 0.2} and got
+
+
+def test_pearson_sums_are_those_of_the_meetings(spark, monkeypatch):
+    from statistics import correlation
+
+    monkeypatch.setattr(similarity, "TASK_PAIRS", 50, raising=False)
+    pairs = meeting_rows()
+    want = {p: x for p, x in brute_meetings(pairs).items() if len(x) >= 3 and all(len({s[k] for s in x}) > 1 for k in (0, 1))}
+    found = cf.co_rated(spark.createDataFrame(pairs, "m long, g long, stars double"), "m", "g", 3)
+    got = {(r.a, r.b): (r.n, r.sim) for r in found.where("sim is not null").collect()}
+    assert got.keys() == want.keys() and len(got) > 20
+    assert all(got[p][0] == len(x) and abs(got[p][1] - correlation(*zip(*x))) < 2e-6 for p, x in want.items())
+    assert found.rdd.getNumPartitions() > 10
+
+
+def test_counts_that_are_made_in_rounds_add_up():
+    import numpy as np
+    import pyarrow as pa
+
+    lists = [(np.array([2]), np.array([3]), {"m": pa.array([1, 2, 5]), "size": pa.array([4, 2, 3]), "stars": pa.array([1.0, None, 3.0])})]
+    once = similarity.counted(None, lists)
+    twice = similarity.counted(similarity.counted(once, lists), [])
+    assert once.to_pydict() == {"a": [1, 1, 2], "b": [2, 5, 5], "n": [1, 1, 1], "na": [4, 4, 2], "nb": [2, 3, 3], "sx": [1, 1, 0], "sy": [0, 3, 3], "sxx": [1, 1, 0], "syy": [0, 9, 9], "sxy": [0, 3, 0]}
+    assert twice.select("ab").to_pydict() == once.select("ab").to_pydict() and twice["n"].to_pylist() == [2, 2, 2] and twice["sxy"].to_pylist() == [0, 6, 0]
+    assert similarity.counted(once, lists, 2, 0.5).select(["a", "b"]).to_pydict() == {"a": [1, 2], "b": [2, 5]}
+
+
+@pytest.mark.parametrize("bound", [0, 100])
+def test_lsh_models_are_the_same_in_both_orders(spark, monkeypatch, bound):
+    monkeypatch.setattr(similarity, "PAIRS_A_ROW", bound, raising=False)
+    monkeypatch.setattr(similarity, "TASK_PAIRS", 50, raising=False)
+    pairs = spark.createDataFrame(meeting_rows(), "m long, g long, stars double")
+    exact = {(r.a, r.b): r.sim for r in similarity.jaccard_pairs(pairs, "m", "g", 0.1).collect()}
+    cand = {(r.a, r.b) for r in similarity.lsh_candidates(similarity.minhash(pairs, "m", "g", 12), 2).collect()}
+    asked = []
+    monkeypatch.setattr(similarity, "lsh_candidates", lambda *x, real=similarity.lsh_candidates: asked.append(x) or real(*x))
+    got = {(r.a, r.b): r.sim for r in similarity.lsh_similar_pairs(pairs, "m", "g", 12, 2, 0.1).collect()}
+    assert got == {p: j for p, j in exact.items() if p in cand} and 0 < len(got) < len(exact)
+    assert bool(asked) == (not bound)  # only where the groups are large LSH goes first
+
+
 def test_pearson_leaves_constant_raters_out(spark):
     ratings = spark.createDataFrame(
         [(u, b, s) for u, (x, y, z) in enumerate([(1.0, 2.0, 3.0), (2.0, 4.0, 3.0), (3.0, 6.0, 3.0)]) for b, s in ((1, x), (2, y), (3, z))], "u long, b long, stars double"
