@@ -87,6 +87,19 @@ def test_frequent_itemsets(spark):
     assert {tuple(r[0]) for r in frequent.select("items").collect()} <= {tuple(r[0]) for r in made.collect()}
 
 
+def test_pairs_of_frequent_items_are_not_listed(spark, monkeypatch):
+    """3,000 frequent items, of which two meet often: their four million pairs are never written."""
+    written = []
+    monkeypatch.setattr(baskets, "cut", lambda df, real=baskets.cut: written.append(real(df)) or written[-1])
+    pairs = [(b, i) for i in range(3000) for b in (i, i + 1, i + 2)] + [(b, i) for b in range(9000, 9004) for i in (5, 2000, 2999)]
+    df = spark.createDataFrame(pairs, "basket long, item long")
+    got = {tuple(r["items"]): r.support for r in baskets.frequent_itemsets(df, 4, 3).collect()}
+    assert got == {(5,): 7, (2000,): 7, (2999,): 7, (5, 2000): 4, (5, 2999): 4, (2000, 2999): 4, (5, 2000, 2999): 4}
+    got = {tuple(r["items"]): r.support for r in baskets.frequent_itemsets(df, 3, 3).collect()}
+    assert len(got) == 3000 + 3 + 1 and got[5, 2000, 2999] == 4
+    assert max(df.count() for df in written) <= len(pairs)
+
+
 def test_baskets_over_a_size(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a")], "u long, i string")
     assert rows(baskets.long_baskets(df, "u", "i", over=1)) == [(1, "a"), (1, "b")]
