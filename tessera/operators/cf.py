@@ -55,13 +55,11 @@ def user_model(ratings: DataFrame, user: str = "u", item: str = "b", least: int
 
     Where fewer pairs share an item than agree in some band, those are correlated first, and the few that are left must agree.
     """
-    enough = at_least(ratings, user, item, least)
+    enough = cut(at_least(ratings, user, item, least))
     signatures = minhash(enough, user, item, hashes)
     if not crowded(enough, item, signatures, rows):
         sized = rated(enough, user, item).withColumn("size", F.count("*").over(Window.partitionBy("m")))
-        near = met(sized, least, jaccard)
-        found = correlated(near).where("sim > 0")
-        return agreeing(found, signatures, rows)
+        return agreeing(correlated(met(sized, least, jaccard)).where("sim > 0"), signatures, rows)
     found = lsh_candidates(signatures, rows)
     left, right = enough.select(F.col(user).alias("a"), F.col(item).alias("g")), enough.select(F.col(user).alias("b"), F.col(item).alias("g"))
     shared = found.join(left, "a").join(right, ["b", "g"]).groupBy("a", "b").agg(F.count("*").alias("n"))
